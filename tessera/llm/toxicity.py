@@ -1,7 +1,7 @@
 """Toxicity: a support vector machine on a gapped subsequence string kernel with Nystroem landmarks.
 
 Kernel: two words are compared by their common subsequences of `ORDER` letters, each occurrence weighted
-DECAY ** span, normalised to 1 for equal words. Characters that aren't letters match nothing and only
+DECAY ** span, normalised to 1 for equal words and raised to a power. Characters that aren't letters match nothing and only
 widen spans, so `i.d.i.o.t`, `idxiot` and inflected forms stay near `idiot`; runs of single letters
 ("i d i o t") are read as one word. Subsequences are enumerated explicitly: a kernel value with every
 landmark is one sum over the word's letter triples of rows of a small table.
@@ -35,11 +35,15 @@ from .common import bounded_sample, text_of, text_udf
 
 ORDER = 3
 DECAY = 0.7
+#: Power of the normalised kernel (a kernel again): near 1 stays, chance resemblance fades.
+POWER = 4
 #: Longest piece of a word compared at once, in characters.
 PIECE = 14
 #: Letter triples wider than this count for nothing.
 MAX_SPAN = 10
-LANDMARKS = 64
+LANDMARKS = 96
+#: A word may be a toxic landmark if in this share of the toxic training texts, and so many times likelier there.
+MIN_SHARE, MIN_ODDS = 0.005, 6
 MAX_TRAIN = 2000
 ALPHABET = 32
 #: Words whose kernel row a worker remembers.
@@ -152,7 +156,7 @@ class Kernel:
             sums = np.add.reduceat(self.values[row[word, place]] * weight[place][:, None], first, axis=0)
             norm = self_kernels(group[hit])
             out[part[hit]] = sums / np.maximum(norm, 1e-9)[:, None]
-        return np.minimum(out, 1)
+        return np.minimum(out, 1) ** POWER
 
 
 class ToxicityModel:
@@ -221,7 +225,7 @@ class ToxicityModel:
 
 
 #: Kernel values below this count as 0 for every landmark of a word whose best value is below it.
-LOUD = 0.35
+LOUD = 0.06
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reg: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -245,24 +249,32 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Tox
     """Choose landmarks from the words that set the classes apart, then the multiple-instance SVM."""
     if not toxic or not clean:
         return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, 1.0 if toxic else 0.0)
+    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))  # copies would count as evidence
     bags = [[[p for w in s for p in pieces(w)] for s in sentences(t)] for t in (*toxic, *clean)]
     label = np.array([1] * len(toxic) + [0] * len(clean))
     df = [Counter(), Counter()]
     for y, bag in zip(label, bags):
         df[y].update({p for s in bag for p in s})
     a, b = len(toxic), len(clean)
-    weight = {w: n * math.log((n + 0.5) / a / ((df[0][w] + 0.5) / b)) for w, n in df[1].items() if n >= 2 and len(w) >= 4}
-    ranked = sorted((w for w in weight if weight[w] > 0), key=lambda w: (-weight[w], w))[:1500]
-    common = sorted(df[0], key=lambda w: (-df[0][w], w))
-    ranked += [w for w in common if len(w) >= 4][: landmarks // 4]  # the clean side of the feature space
+    least = max(3, a * MIN_SHARE)
+    odds = {w: (n + 0.5) / a / ((df[0][w] + 0.5) / b) for w, n in df[1].items() if n >= least and len(w) >= 4}
+    weight = {w: df[1][w] * math.log(r) for w, r in odds.items() if r >= MIN_ODDS}
+    ranked = sorted(weight, key=lambda w: (-weight[w], w))[:1500]
     chosen: list[bytes] = []
-    similar = Kernel(ranked)(ranked)
-    near = np.zeros(len(ranked))
-    for k in [*range(len(ranked) - landmarks // 4), *range(len(ranked) - landmarks // 4, len(ranked))]:
-        limit = landmarks if k >= len(ranked) - landmarks // 4 else landmarks * 3 // 4
-        if len(chosen) < limit and near[k] < 0.75:
-            chosen.append(ranked[k])
-            near = np.maximum(near, similar[:, k])
+    if ranked:
+        similar = Kernel(ranked)(ranked)
+        near = np.zeros(len(ranked))
+        for k in range(len(ranked)):
+            if len(chosen) < landmarks * 3 // 4 and near[k] < 0.7:
+                chosen.append(ranked[k])
+                near = np.maximum(near, similar[:, k])
+    # The clean side: the commonest words, and above all those a toxic landmark could be confused with.
+    common = sorted((w for w in df[0] if len(w) >= ORDER and w not in weight), key=lambda w: (-df[0][w], w))[:20_000]
+    alike = Kernel(chosen)(common).max(axis=1, initial=0) if chosen and common else np.zeros(len(common))
+    confused = sorted(np.flatnonzero(alike >= 0.2).tolist(), key=lambda k: (-df[0][common[k]] * float(alike[k]), common[k]))[: landmarks // 6]
+    chosen += [common[k] for k in confused] + [w for k, w in enumerate(common[: landmarks // 12]) if k not in confused]
+    if not chosen:
+        return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, len(toxic) / (len(toxic) + len(clean)))
     kernel = Kernel(chosen)
     value, vector = np.linalg.eigh(kernel(chosen).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
     root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
