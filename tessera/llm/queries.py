@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, secrets, topk, toxicity
+from . import decontaminate, html_text, jaccard, language, mixing, quality, secrets, topk, toxicity
 from .common import fold, table
 
 
@@ -24,6 +24,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, fold(docs["doc_id"], 4) == 2)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_language_id, op7_mix_sources, op8_exact_topk, op9_quality, op10_secret_scan)
+    f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_language_id, op5_jaccard_join, op6_html_text, op7_mix_sources, op8_exact_topk, op9_quality, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
