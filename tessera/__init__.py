@@ -1,0 +1 @@
+"""Tessera: blocked N-dimensional arrays as Spark relations."""
