@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, mixing, quality, secrets, topk, toxicity
+from . import decontaminate, html_text, jaccard, language, mixing, quality, secrets, suffix_dedup, topk, toxicity
 from .common import fold, table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: fold(doc_id, 5) == 0)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_language_id, op5_jaccard_join, op6_html_text, op7_mix_sources, op8_exact_topk, op9_quality, op10_secret_scan)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_decontaminate, op4_language_id, op5_jaccard_join, op6_html_text, op7_mix_sources, op8_exact_topk, op9_quality, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
