@@ -44,12 +44,13 @@ MAX_SPAN = 10
 LANDMARKS = 96
 #: A word may be a toxic landmark if in this share of the toxic training texts, and so many times likelier there.
 MIN_SHARE, MIN_ODDS = 0.005, 6
-MAX_TRAIN = 2000
+MAX_TRAIN = 1200
 ALPHABET = 32
 #: Words whose kernel row a worker remembers.
 REMEMBER = 300_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
+_SINGLES = re.compile(r"\s\S[\x20\t]\S[\x20\t]\S(?!\S)")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[\x20\t]){2,}\S(?!\S)")
 
 
@@ -58,12 +59,16 @@ def _symbols() -> bytes:
 
 
 _ASCII = _symbols()
+#: The same for Latin-1, whose letters beyond ASCII are classed by code point.
+_LATIN = bytes(_ASCII[c] if c < 128 else 27 + ord(chr(c).lower()[0]) % 5 if chr(c).isalpha() else 0 for c in range(256))
 
 
 def codes(word: str) -> bytes:
     """Letters as 1-31 (a-z: 1-26, others by code point), everything else 0; trimmed of zeros at both ends."""
     if word.isascii():
         return word.encode().translate(_ASCII).strip(b"\0")
+    if max(word) <= "\xff":
+        return word.encode("latin-1").translate(_LATIN).strip(b"\0")
     return bytes((ord(c) & 31 if c.isascii() else 27 + ord(c.lower()[0]) % 5) if c.isalpha() else 0 for c in word).strip(b"\0")
 
 
@@ -77,7 +82,7 @@ def pieces(word: str) -> list[bytes]:
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence; letters spelled apart are joined by gaps."""
-    spelled = _SPELLED.sub(lambda m: m[0].replace(" ", "-").replace("\t", "-"), text) if _SPELLED.search(text) else text
+    spelled = _SPELLED.sub(lambda m: m[0].replace(" ", "-").replace("\t", "-"), text) if _SINGLES.search(" " + text) else text
     return [words for part in _SENTENCE.split(spelled) if (words := part.split())]
 
 
@@ -142,10 +147,31 @@ class Kernel:
         for k, s in enumerate(sums):
             for c, v in s.items():
                 self.values[self.row[c], k] = v
+        self.best = np.zeros(ALPHABET**3, dtype=np.float32)
+        self.best[used] = self.values[1:].max(axis=1) if used else 0
+
+    def _possible(self, group: np.ndarray) -> np.ndarray:
+        """Words whose kernel with some landmark may reach LOUD: by the best value of each triple and the least norm.
+
+        Without gaps a word's norm is at least that of all-different triples; words with gaps pass unless nothing matches.
+        """
+        at, weight = _places(group.shape[1])
+        if not len(at):
+            return np.zeros(0, dtype=np.int64)
+        by_place = np.ascontiguousarray(group.T).astype(np.uint16)
+        code = (by_place[at[:, 0]] << 10) | (by_place[at[:, 1]] << 5) | by_place[at[:, 2]]
+        bound = weight @ self.best[code]
+        least = np.where((group == 0).any(axis=1), 1e-6, np.sqrt(float(weight @ weight)) * LOUD ** (1 / POWER) * 0.999)
+        return np.flatnonzero(bound >= least)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Kernel values; all 0 for a word that can't reach LOUD with any landmark."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
         for part, group in _by_length(words):
+            some = self._possible(group)
+            if not len(some):
+                continue
+            part, group = part[some], group[some]
             code, weight = _triples(group)
             row = self.row[code]
             word, place = np.nonzero(row)
@@ -197,27 +223,28 @@ class ToxicityModel:
             if kernel is None:
                 return [self.prior] * len(texts)
             out = []
-            for text in texts:
-                parts = sentences(text)
-                words = [w for p in parts for w in p]
+            for at in range(0, len(texts), 250):  # new words of many texts are compared at once
+                parsed = [sentences(t) for t in texts[at : at + 250]]
                 if len(memory) > REMEMBER:
                     memory.clear()
                     used[0] = 1
-                if new := list({w for w in words if w not in memory}):
+                if new := list({w for parts in parsed for p in parts for w in p}.difference(memory)):
                     learn(new)
-                margin = self.bias
-                if words:
-                    rows = np.fromiter(map(memory.__getitem__, words), dtype=np.int64, count=len(words))
-                    if rows.any():
-                        first = np.cumsum([0, *(len(p) for p in parts[:-1])])
-                        at = np.flatnonzero(rows)
-                        where = np.searchsorted(first, at, "right")
-                        cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-                        features = np.maximum.reduceat(table[0][rows[at]], cut, axis=0)
-                        margin = max(float((features @ self.weights).max()) + self.bias, self.bias if len(cut) < len(parts) else -np.inf)
-                out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.shift)))))
+                out += [one(parts) for parts in parsed]
             return out
 
+        def one(parts: list[list[str]]) -> float:
+            margin = self.bias
+            rows = np.fromiter((memory[w] for p in parts for w in p), dtype=np.int64)
+            if rows.any():
+                first = np.cumsum([0, *(len(p) for p in parts[:-1])])
+                at = np.flatnonzero(rows)
+                where = np.searchsorted(first, at, "right")
+                cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+                features = np.maximum.reduceat(table[0][rows[at]], cut, axis=0)
+                margin = max(float((features @ self.weights).max()) + self.bias, self.bias if len(cut) < len(parts) else -np.inf)
+            return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.shift))))
+
         return run
 
     def column(self, text: Column) -> Column:
@@ -280,17 +307,19 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Tox
     root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
 
     distinct = sorted({p for bag in bags for s in bag for p in s})
-    at = {w: k for k, w in enumerate(distinct)}
-    loud_words = kernel(distinct)
-    loud_words[loud_words.max(axis=1) < LOUD] = 0
-    owner, features = [], []
+    loud: dict[bytes, np.ndarray] = {}
+    for k in range(0, len(distinct), 20_000):  # only the rows of words near any landmark are held
+        part = distinct[k : k + 20_000]
+        rows = kernel(part)
+        loud.update((part[i], rows[i]) for i in np.flatnonzero(rows.max(axis=1) >= LOUD))
+    owner, features, quiet = [], [], np.zeros(len(chosen), dtype=np.float32)
     for k, bag in enumerate(bags):
         for s in bag or [[]]:
-            rows = loud_words[[at[p] for p in s]] if s else np.zeros((1, len(chosen)))
+            rows = [loud[p] for p in s if p in loud]
             owner.append(k)
-            features.append(rows.max(axis=0))
-    owner, raw = np.array(owner), np.array(features, dtype=np.float64)
-    x = raw @ root
+            features.append(np.max(rows, axis=0) if rows else quiet)
+    owner, raw = np.array(owner), np.array(features, dtype=np.float32)
+    x = raw @ root.astype(np.float32)
     y = np.where(label[owner] == 1, 1.0, -1.0)
     negative = np.flatnonzero(y < 0)
     silent = negative[raw[negative].max(axis=1) == 0]
