@@ -28,7 +28,7 @@ class BlockedArray:
 
     def __init__(self, spec: ArraySpec, cells: DataFrame, blocks: DataFrame | None = None, dirty: DataFrame | None = None):
         self.spec, self.spark = spec, cells.sparkSession
-        self.cells = cells.select(*spec.coords, F.col("v").cast(spec.value_type).alias("v"))
+        self.cells = cells.select(*(F.col(c).cast("int").alias(c) for c in spec.coords), F.col("v").cast(spec.value_type).alias("v"))
         self.blocks = blocks if blocks is not None else with_blocks(self.cells, spec.block_shape).select(*spec.blocks).distinct()
         self.dirty = dirty if dirty is not None else self._no_dirty()
 

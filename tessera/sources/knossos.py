@@ -18,9 +18,9 @@ def read_config(spark: SparkSession, path: str) -> dict:
     """experiment name, scale and boundary (x, y, z), magnification."""
     out: dict = {}
     for (line,) in spark.read.text(f"{path}/knossos.conf").toLocalIterator():  # a few lines
-        m = re.match(r'\s*([a-z ]+?)\s+"?([^";]+)"?\s*;?\s*$', line.strip())
+        m = re.match(r'([a-z][a-z ]*?)\s+(?:"([^"]*)"|([-+0-9.eE]+))\s*;?$', line.strip())
         if m:
-            out[m[1].strip()] = m[2].strip()
+            out[m[1]] = m[2] if m[2] is not None else m[3]
     axes = lambda key, kind: tuple(kind(out[f"{key} {a}"]) for a in "xyz")
     return {"name": out["experiment name"], "scale": axes("scale", float), "boundary": axes("boundary", int), "magnification": int(out.get("magnification", 1))}
 
