@@ -36,7 +36,7 @@ from .common import bounded_sample, text_of, text_udf
 ORDER = 3
 DECAY = 0.7
 #: Power of the normalised kernel (a kernel again): near 1 stays, chance resemblance fades.
-POWER = 4
+POWER = 3
 #: Longest piece of a word compared at once, in characters.
 PIECE = 14
 #: Letter triples wider than this count for nothing.
@@ -252,7 +252,7 @@ class ToxicityModel:
 
 
 #: Kernel values below this count as 0 for every landmark of a word whose best value is below it.
-LOUD = 0.06
+LOUD = 0.12
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reg: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -276,7 +276,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Tox
     """Choose landmarks from the words that set the classes apart, then the multiple-instance SVM."""
     if not toxic or not clean:
         return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, 1.0 if toxic else 0.0)
-    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))  # copies would count as evidence
+    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys([*clean, ""]))  # copies would count as evidence; no text is clean
     bags = [[[p for w in s for p in pieces(w)] for s in sentences(t)] for t in (*toxic, *clean)]
     label = np.array([1] * len(toxic) + [0] * len(clean))
     df = [Counter(), Counter()]
