@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.region import Roi, with_blocks
 from ..plans.lineage import materialize
 from ..plans.spec import ArraySpec
-from .store import BlockedArray
+from .store import TileArray
 
 
 class BlockCache:
@@ -21,7 +21,7 @@ class BlockCache:
 
     def __init__(self, source: Callable[[], DataFrame], spec: ArraySpec):
         self.source, self.spec = source, spec
-        self.store = BlockedArray.empty(source().sparkSession, spec)
+        self.store = TileArray.empty(source().sparkSession, spec)
         self.frozen, self.deferred = False, []
 
     def invalidate(self, roi: Roi) -> None:
@@ -42,7 +42,7 @@ class BlockCache:
                 cells = materialize(kept.unionByName(fresh.withColumn("v", F.col("v").cast(self.spec.value_type))))
                 blocks = materialize(s.blocks.unionByName(need).distinct())
                 dirty = materialize(s.dirty.join(need, b, "left_anti"))
-                self.store = BlockedArray(self.spec, cells, blocks, dirty)
+                self.store = TileArray(self.spec, cells, blocks, dirty)
         return self.store.read(roi, dense=True)
 
     def put(self, roi: Roi, patch: DataFrame) -> None:

@@ -23,7 +23,7 @@ def _all(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
-class BlockedArray:
+class TileArray:
     """Immutable handle of three DataFrames and a spec."""
 
     def __init__(self, spec: ArraySpec, cells: DataFrame, blocks: DataFrame | None = None, dirty: DataFrame | None = None):
@@ -35,22 +35,22 @@ class BlockedArray:
     # -- construction ---------------------------------------------------------------------------
 
     @staticmethod
-    def empty(spark: SparkSession, spec: ArraySpec) -> "BlockedArray":
+    def empty(spark: SparkSession, spec: ArraySpec) -> "TileArray":
         """No block stored."""
         ints = ", ".join(f"{c} int" for c in spec.coords)
         cells = spark.createDataFrame([], f"{ints}, v {spec.value_type}")
-        return BlockedArray(spec, cells, spark.createDataFrame([], ", ".join(f"{c} int" for c in spec.blocks)))
+        return TileArray(spec, cells, spark.createDataFrame([], ", ".join(f"{c} int" for c in spec.blocks)))
 
     @staticmethod
-    def from_numpy(spark: SparkSession, spec: ArraySpec, a: np.ndarray) -> "BlockedArray":
+    def from_numpy(spark: SparkSession, spec: ArraySpec, a: np.ndarray) -> "TileArray":
         """All of `a` written at the origin."""
-        return BlockedArray.empty(spark, spec).write(Roi((0,) * a.ndim, a.shape), numpy_cells(spark, a, spec))
+        return TileArray.empty(spark, spec).write(Roi((0,) * a.ndim, a.shape), numpy_cells(spark, a, spec))
 
     def _no_dirty(self) -> DataFrame:
         return self.spark.createDataFrame([], ", ".join(f"{c} int" for c in [*self.spec.blocks, "axis", "slice"]))
 
-    def _with(self, cells=None, blocks=None, dirty=None, spec=None) -> "BlockedArray":
-        return BlockedArray(spec or self.spec, self.cells if cells is None else cells, self.blocks if blocks is None else blocks, self.dirty if dirty is None else dirty)
+    def _with(self, cells=None, blocks=None, dirty=None, spec=None) -> "TileArray":
+        return TileArray(spec or self.spec, self.cells if cells is None else cells, self.blocks if blocks is None else blocks, self.dirty if dirty is None else dirty)
 
     # -- reads ----------------------------------------------------------------------------------
 
@@ -86,7 +86,7 @@ class BlockedArray:
     def _touched(self, roi: Roi) -> DataFrame:
         return grid(self.spark, roi.block_range(self.spec.block_shape), "b")
 
-    def _written(self, roi: Roi, cells: DataFrame) -> "BlockedArray":
+    def _written(self, roi: Roi, cells: DataFrame) -> "TileArray":
         """Directory and dirty slices after a write that left `cells`."""
         touched = self._touched(roi)
         new = touched.join(self.blocks, self.spec.blocks, "left_anti")
@@ -100,7 +100,7 @@ class BlockedArray:
             cells = with_blocks(cells, self.spec.block_shape).join(gone, self.spec.blocks, "left_anti").select(*self.spec.coords, "v")
         return self._with(cells, blocks, dirty)
 
-    def write(self, roi: Roi, patch: DataFrame) -> "BlockedArray":
+    def write(self, roi: Roi, patch: DataFrame) -> "TileArray":
         """Replace a region by the patch's cells (absolute coordinates); cells it lacks become 0. Creates blocks."""
         inside = patch.where(roi.contains()).select(*self.spec.coords, F.col("v").cast(self.spec.value_type).alias("v"))
         return self._written(roi, self.cells.where(~roi.contains()).unionByName(inside))
@@ -108,12 +108,12 @@ class BlockedArray:
     def __setitem__(self, slices, patch):
         raise TypeError("arrays are immutable: use array = array.write(roi, patch)")
 
-    def write_point(self, point: tuple[int, ...], v) -> "BlockedArray":
+    def write_point(self, point: tuple[int, ...], v) -> "TileArray":
         """Upsert one cell."""
         row = self.spark.createDataFrame([tuple(point)], ", ".join(f"{c} int" for c in self.spec.coords)).withColumn("v", F.lit(v))
         return self.write(Roi(tuple(point), tuple(x + 1 for x in point)), row)
 
-    def write_nonzero(self, roi: Roi, patch: DataFrame, write_as_zero) -> "BlockedArray":
+    def write_nonzero(self, roi: Roi, patch: DataFrame, write_as_zero) -> "TileArray":
         """Masked write: 0 keeps the old value, `write_as_zero` writes 0, anything else is written."""
         new = patch.where(roi.contains()).select(*self.spec.coords, F.col("v").cast(self.spec.value_type).alias("new"))
         both = self.cells.join(new, self.spec.coords, "full_outer")
@@ -121,13 +121,13 @@ class BlockedArray:
         v = F.when(F.col("new").isNull() | (F.col("new") == 0), F.coalesce("v", zero)).when(F.col("new") == write_as_zero, zero).otherwise(F.col("new"))
         return self._written(roi, both.select(*self.spec.coords, v.alias("v")))
 
-    def delete(self, roi: Roi) -> "BlockedArray":
+    def delete(self, roi: Roi) -> "TileArray":
         """Drop every block the region touches, whole."""
         hit = roi.block_range(self.spec.block_shape).contains("b")
         cells = with_blocks(self.cells, self.spec.block_shape).where(~hit).select(*self.spec.coords, "v")
         return self._with(cells, self.blocks.where(~hit), self.dirty.where(~hit))
 
-    def relabel(self, lut: DataFrame) -> "BlockedArray":
+    def relabel(self, lut: DataFrame) -> "TileArray":
         """v := r[v mod len(r)] for every cell of every stored block; lut: (k 0.., r). Zeros of stored blocks follow r[0].
 
         The table may be of any size: it is joined on the index, and Catalyst broadcasts it if it is small.
@@ -151,17 +151,17 @@ class BlockedArray:
 
     # -- flags ----------------------------------------------------------------------------------
 
-    def set_delete_empty(self, on: bool) -> "BlockedArray":
+    def set_delete_empty(self, on: bool) -> "TileArray":
         """From now on writes drop the all-zero blocks they touch; blocks there already stay."""
         return self._with(spec=self.spec.with_(delete_empty=on))
 
-    def set_compression(self, on: bool) -> "BlockedArray":
+    def set_compression(self, on: bool) -> "TileArray":
         return self._with(spec=self.spec.with_(compressed=on))
 
-    def set_minmax(self, on: bool) -> "BlockedArray":
+    def set_minmax(self, on: bool) -> "TileArray":
         return self._with(spec=self.spec.with_(minmax=on))
 
-    def set_coordinate_lists(self, on: bool) -> "BlockedArray":
+    def set_coordinate_lists(self, on: bool) -> "TileArray":
         """Coordinate lists; also toggles the deletion of empty blocks."""
         return self._with(spec=self.spec.with_(coo=on, delete_empty=on))
 
@@ -283,7 +283,7 @@ class BlockedArray:
         alive = left.groupBy(*self.spec.blocks).agg(F.count_distinct("axis").alias("axes")).where(F.col("axes") == self.spec.ndim)
         return left.join(alive.select(*self.spec.blocks), self.spec.blocks, "left_semi")
 
-    def set_dirty(self, roi: Roi, dirty: bool = True) -> "BlockedArray":
+    def set_dirty(self, roi: Roi, dirty: bool = True) -> "TileArray":
         """Mark or clean the stored blocks' slices in a region; absent blocks are skipped."""
         if not dirty:
             return self._with(dirty=self._clean(roi, self.dirty))
@@ -309,7 +309,7 @@ class BlockedArray:
     def clean_blocks(self) -> DataFrame:
         return self.blocks.join(self.dirty.select(*self.spec.blocks).distinct(), self.spec.blocks, "left_anti")
 
-    def equals(self, other: "BlockedArray") -> bool:
+    def equals(self, other: "TileArray") -> bool:
         """Same non-zero cells."""
         a, b = (x.cells.where(F.col("v") != 0) for x in (self, other))
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -12,7 +12,7 @@ from ..operators import features as ft
 from ..operators import mesh as ms
 from ..operators.cache import BlockCache
 from ..operators.segment import connected_components
-from ..operators.store import BlockedArray
+from ..operators.store import TileArray
 from ..operators.transform import resample, select_channel, threshold, within
 from ..streaming.patches import upsert
 from . import fixtures as fx
@@ -57,7 +57,7 @@ def _wide(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_E2} SELECT x0::BIGINT AS x0, x1::BIGINT AS x1, v::DOUBLE AS v FROM e2 WHERE x0 >= 30 AND x0 < 210 AND x1 >= 5 AND x1 < 40")
 def roi_read_sparse(spark, d):
-    return _wide(BlockedArray(fx.E2, fx.e2(spark, d))[30:210, 5:40]).withColumn("v", F.col("v").cast("double"))
+    return _wide(TileArray(fx.E2, fx.e2(spark, d))[30:210, 5:40]).withColumn("v", F.col("v").cast("double"))
 
 
 @query(
@@ -65,12 +65,12 @@ def roi_read_sparse(spark, d):
     SELECT g.x0, g.x1, g.x2, coalesce(t3.v, 0) AS v FROM g LEFT JOIN t3 USING (x0, x1, x2)"""
 )
 def roi_read_dense(spark, d):
-    return _wide(BlockedArray(fx.T3, fx.t3(spark, d)).read(Roi((10, 0, 3), (40, 12, 20)), dense=True))
+    return _wide(TileArray(fx.T3, fx.t3(spark, d)).read(Roi((10, 0, 3), (40, 12, 20)), dense=True))
 
 
 @query(f"WITH {_E2} SELECT p.x0::BIGINT AS x0, p.x1::BIGINT AS x1, coalesce(v, 0)::DOUBLE AS v FROM (VALUES (17, 33), (123456, 3)) p(x0, x1) LEFT JOIN e2 USING (x0, x1)")
 def point_read(spark, d):
-    a = BlockedArray(fx.E2, fx.e2(spark, d))
+    a = TileArray(fx.E2, fx.e2(spark, d))
     return _wide(a.at(17, 33).unionByName(a.at(123456, 3))).withColumn("v", F.col("v").cast("double"))
 
 
@@ -83,12 +83,12 @@ _DIRECTORY = f"""WITH {_S3}, p AS (SELECT x0 // 20 AS b0, x1 // 3 AS b1, x2 // 1
     CASE WHEN n < 600 THEN least(lo, 0) ELSE lo END AS vmin, CASE WHEN n < 600 THEN greatest(hi, 0) ELSE hi END AS vmax, 4800::BIGINT AS raw_bytes FROM p"""
 )
 def block_directory(spark, d):
-    return _wide(BlockedArray(fx.S3, fx.s3(spark, d)).directory().drop("dirty"))
+    return _wide(TileArray(fx.S3, fx.s3(spark, d)).directory().drop("dirty"))
 
 
 @query(f"WITH {_T3} SELECT least(min(v), 0) AS vmin, greatest(max(v), 0) AS vmax FROM t3")
 def global_minmax(spark, d):
-    return BlockedArray(fx.T3, fx.t3(spark, d)).minmax()
+    return TileArray(fx.T3, fx.t3(spark, d)).minmax()
 
 
 @query(
@@ -133,17 +133,17 @@ def roi_intersections(spark, d):
 
 @query(f"WITH {_T3} SELECT x0::BIGINT AS x0, x1::BIGINT AS x1, x2::BIGINT AS x2, v FROM t3 WHERE v <> 0")
 def nonzero_list(spark, d):
-    return _wide(BlockedArray(fx.T3, fx.t3(spark, d)).nonzero())
+    return _wide(TileArray(fx.T3, fx.t3(spark, d)).nonzero())
 
 
 @query("SELECT x.range AS b0, y.range AS b1, x.range * 50 AS start0, y.range * 16 AS start1, x.range * 50 + 50 AS stop0, y.range * 16 + 16 AS stop1 FROM range(2, 5) x, range(1, 3) y")
 def stored_blocks(spark, d):
-    return _wide(BlockedArray(fx.E2, fx.e2(spark, d)).stored_blocks(Roi((120, 20), (250, 40))))
+    return _wide(TileArray(fx.E2, fx.e2(spark, d)).stored_blocks(Roi((120, 20), (250, 40))))
 
 
 @query("SELECT x.range AS b0, y.range AS b1, z.range AS b2 FROM range(1, 4) x, range(0, 2) y, range(2, 5) z")
 def enumerate_blocks(spark, d):
-    return _wide(BlockedArray(fx.S3, fx.s3(spark, d)).enumerate_blocks(Roi((25, 0, 20), (80, 4, 45))))
+    return _wide(TileArray(fx.S3, fx.s3(spark, d)).enumerate_blocks(Roi((25, 0, 20), (80, 4, 45))))
 
 
 # -- writes --------------------------------------------------------------------------------------
@@ -157,12 +157,12 @@ _PATCH = Roi((40, 10), (90, 30))
 )
 def write_subarray(spark, d):
     patch = grid(spark, _PATCH).withColumn("v", ((F.col("x0") * 7 + F.col("x1")) % 5).cast("float"))
-    return _wide(BlockedArray(fx.E2, fx.e2(spark, d)).write(_PATCH, patch).cells).withColumn("v", F.col("v").cast("double"))
+    return _wide(TileArray(fx.E2, fx.e2(spark, d)).write(_PATCH, patch).cells).withColumn("v", F.col("v").cast("double"))
 
 
 @query(f"WITH {_E2} SELECT x0::BIGINT AS x0, x1::BIGINT AS x1, v::DOUBLE AS v FROM e2 WHERE NOT (x0 = 60 AND x1 = 43) UNION ALL SELECT 60, 43, 42")
 def write_point(spark, d):
-    return _wide(BlockedArray(fx.E2, fx.e2(spark, d)).write_point((60, 43), 42.0).cells).withColumn("v", F.col("v").cast("double"))
+    return _wide(TileArray(fx.E2, fx.e2(spark, d)).write_point((60, 43), 42.0).cells).withColumn("v", F.col("v").cast("double"))
 
 
 @query(
@@ -173,12 +173,12 @@ def write_point(spark, d):
 def write_nonzero(spark, d):
     roi = Roi((10, 1, 5), (30, 5, 25))
     patch = grid(spark, roi).withColumn("v", ((F.col("x0") + F.col("x1") + F.col("x2")) % 3).cast("double"))
-    return _wide(BlockedArray(fx.S3, fx.s3(spark, d)).write_nonzero(roi, patch, 2).cells)
+    return _wide(TileArray(fx.S3, fx.s3(spark, d)).write_nonzero(roi, patch, 2).cells)
 
 
 @query(f"WITH {_S3} SELECT x0::BIGINT AS x0, x1::BIGINT AS x1, x2::BIGINT AS x2, v FROM s3 WHERE NOT (x0 // 20 IN (1, 2) AND x1 // 3 IN (0, 1) AND x2 // 10 IN (1, 2))")
 def delete_subarray(spark, d):
-    return _wide(BlockedArray(fx.S3, fx.s3(spark, d)).delete(Roi((25, 2, 15), (41, 5, 21))).cells)
+    return _wide(TileArray(fx.S3, fx.s3(spark, d)).delete(Roi((25, 2, 15), (41, 5, 21))).cells)
 
 
 @query(
@@ -186,7 +186,7 @@ def delete_subarray(spark, d):
     SELECT b0::BIGINT AS b0, b1::BIGINT AS b1, b2::BIGINT AS b2 FROM z"""
 )
 def delete_empty_blocks(spark, d):
-    a = BlockedArray.empty(spark, fx.T3.with_(dtype="uint8", delete_empty=True))
+    a = TileArray.empty(spark, fx.T3.with_(dtype="uint8", delete_empty=True))
     roi = Roi((0, 0, 0), (160, 30, 24))
     return _wide(a.write(roi, threshold(fx.t3(spark, d), 300.0)).blocks)
 
@@ -195,7 +195,7 @@ def delete_empty_blocks(spark, d):
 def apply_relabeling(spark, d):
     hours = fx.t3(spark, d).withColumn("v", F.col("x2"))
     lut = spark.createDataFrame([(0, 0), (1, 7), (2, 7), (3, 3), (4, 9)], "k int, r int")
-    return _wide(BlockedArray(fx.T3.with_(dtype="int32"), hours).relabel(lut).cells)
+    return _wide(TileArray(fx.T3.with_(dtype="int32"), hours).relabel(lut).cells)
 
 
 # -- cell-wise operators -------------------------------------------------------------------------
@@ -416,9 +416,9 @@ def mesh_verts(spark, d):
 # -- dirty tracking and cache --------------------------------------------------------------------
 
 
-def _marked(spark, d) -> BlockedArray:
+def _marked(spark, d) -> TileArray:
     """E2, its first 500 rows' blocks marked in one box, then cleaned in a full-height strip of it."""
-    a = BlockedArray(fx.E2, fx.e2(spark, d).where("x0 < 500"))
+    a = TileArray(fx.E2, fx.e2(spark, d).where("x0 < 500"))
     return a.set_dirty(Roi((60, 10), (240, 40))).set_dirty(Roi((100, 0), (200, 64)), False)
 
 
@@ -442,7 +442,7 @@ def is_dirty(spark, d):
 def written_dirty(spark, d):
     """A write cleans the blocks it covers and, of those it doesn't, the slices it spans."""
     roi = Roi((0, 0), (60, 64))
-    a = BlockedArray.empty(spark, fx.E2).write(roi, grid(spark, roi).withColumn("v", F.lit(1.0)))
+    a = TileArray.empty(spark, fx.E2).write(roi, grid(spark, roi).withColumn("v", F.lit(1.0)))
     return _wide(a.dirty.groupBy("b0", "b1").agg(F.count_if(F.col("axis") == 0).alias("n0"), F.count_if(F.col("axis") == 1).alias("n1")))
 
 
@@ -465,12 +465,12 @@ def cache_refresh(spark, d):
 )
 def stream_upsert(spark, d):
     patches = spark.createDataFrame([(5, 6, 7, 3.0, 1), (5, 6, 7, 9.0, 2)], "x0 int, x1 int, x2 int, v double, ts int")
-    return _wide(upsert(BlockedArray(fx.T3, fx.t3(spark, d)), patches).cells)
+    return _wide(upsert(TileArray(fx.T3, fx.t3(spark, d)), patches).cells)
 
 
 @query()
 def compression_ratio(spark, d):
-    a = BlockedArray(fx.S3, fx.s3(spark, d)).set_compression(True)
+    a = TileArray(fx.S3, fx.s3(spark, d)).set_compression(True)
     return a.compression().agg(F.sum("stored_bytes").alias("size_bytes"), F.avg(F.col("stored_bytes") / F.col("raw_bytes")).alias("ratio"))
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.region import Roi, with_blocks
-from ..operators.store import BlockedArray
+from ..operators.store import TileArray
 from ..plans.spec import ArraySpec
 
 
-def save(array: BlockedArray, path: str) -> None:
+def save(array: TileArray, path: str) -> None:
     """Write a new version; cells are partitioned by the first block axis and sorted by block within files."""
     spec, spark = array.spec, array.spark
     version = uuid.uuid4().hex
@@ -30,12 +30,12 @@ def save(array: BlockedArray, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec.json")
 
 
-def load(spark: SparkSession, path: str) -> BlockedArray:
+def load(spark: SparkSession, path: str) -> TileArray:
     """The current version; cell reads prune partitions by block."""
     held = json.loads(spark.read.text(f"{path}/spec.json").first()[0])
     version, _ = held.pop("version"), held.pop("format")
     spec = ArraySpec.from_dict(held)
-    return BlockedArray(spec, stored_cells(spark, path, spec, version), spark.read.parquet(f"{path}/{version}/blocks"), spark.read.parquet(f"{path}/{version}/dirty"))
+    return TileArray(spec, stored_cells(spark, path, spec, version), spark.read.parquet(f"{path}/{version}/blocks"), spark.read.parquet(f"{path}/{version}/dirty"))
 
 
 def stored_cells(spark: SparkSession, path: str, spec: ArraySpec, version: str) -> DataFrame:
@@ -101,4 +101,4 @@ class ParquetSink:
         if self.shape is None:
             raise ValueError("set_shape first")
         spec = ArraySpec(self.name, len(self.shape), self.dtype, self.block_shape or self.shape, self.shape, compressed=self.compression > 0)
-        save(BlockedArray(spec, cells), self.path)
+        save(TileArray(spec, cells), self.path)

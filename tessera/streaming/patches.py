@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.region import with_blocks
-from ..operators.store import BlockedArray
+from ..operators.store import TileArray
 from ..sources.snapshot import load, save
 
 
@@ -15,7 +15,7 @@ def last_writes(patches: DataFrame, coords: list[str]) -> DataFrame:
     return patches.groupBy(*coords).agg(F.max_by("v", F.struct("ts", "v")).alias("v"))
 
 
-def upsert(array: BlockedArray, patches: DataFrame) -> BlockedArray:
+def upsert(array: TileArray, patches: DataFrame) -> TileArray:
     """Write single cells; blocks they touch are created, and the cells' slices marked dirty."""
     spec = array.spec
     new = last_writes(patches, spec.coords)
@@ -24,7 +24,7 @@ def upsert(array: BlockedArray, patches: DataFrame) -> BlockedArray:
     blocks = array.blocks.unionByName(touched.select(*spec.blocks).distinct()).distinct()
     axes = F.array(*(F.struct(F.lit(i).alias("axis"), (F.col(f"x{i}") % s).cast("int").alias("slice")) for i, s in enumerate(spec.block_shape)))
     dirty = touched.select(*spec.blocks, F.explode(axes).alias("a")).select(*spec.blocks, "a.axis", "a.slice")
-    return BlockedArray(spec, kept.unionByName(new.withColumn("v", F.col("v").cast(spec.value_type))), blocks, array.dirty.unionByName(dirty).distinct())
+    return TileArray(spec, kept.unionByName(new.withColumn("v", F.col("v").cast(spec.value_type))), blocks, array.dirty.unionByName(dirty).distinct())
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, **trigger):

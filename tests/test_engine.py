@@ -11,7 +11,7 @@ from tessera.operators import features as ft
 from tessera.operators.cache import BlockCache
 from tessera.operators.mesh import extract_mesh, mesh_faces
 from tessera.operators.segment import connected_components
-from tessera.operators.store import BlockedArray, numpy_cells
+from tessera.operators.store import TileArray, numpy_cells
 from tessera.operators.transform import resample, select_channel, threshold
 from tessera.plans.spec import ArraySpec
 from tessera.sources import hdf5, knossos, snapshot
@@ -51,7 +51,7 @@ def test_random_reads_and_writes(spark):
     rng = np.random.default_rng(1)
     dense = rng.integers(0, 255, (23, 17, 11)).astype(np.uint8)
     s = spec("uint8", (7, 5, 4), dense.shape)
-    a = BlockedArray.from_numpy(spark, s, dense)
+    a = TileArray.from_numpy(spark, s, dense)
     for _ in range(3):
         p = [int(rng.integers(0, n - 1)) for n in dense.shape]
         q = [int(rng.integers(x + 1, n + 1)) for x, n in zip(p, dense.shape)]
@@ -66,7 +66,7 @@ def test_random_reads_and_writes(spark):
 
 def test_masked_write_delete_and_relabel(spark):
     s = spec("uint32", (2, 3), (6, 6))
-    a = BlockedArray.from_numpy(spark, s, np.ones((6, 6), dtype=np.uint32))
+    a = TileArray.from_numpy(spark, s, np.ones((6, 6), dtype=np.uint32))
     patch = np.array([[0, 42], [100, 7]], dtype=np.uint32)
     b = a.write_nonzero(Roi((1, 1), (3, 3)), numpy_cells(spark, patch, s, (1, 1)), 100)
     assert b.to_numpy(Roi((1, 1), (3, 3))).tolist() == [[1, 42], [0, 7]]
@@ -78,17 +78,17 @@ def test_masked_write_delete_and_relabel(spark):
 
 def test_directory_minmax_compression_and_empty_blocks(spark):
     s = spec("uint32", (20, 30), (100, 75))
-    a = BlockedArray.from_numpy(spark, s, np.full((100, 75), 42, dtype=np.uint32))
+    a = TileArray.from_numpy(spark, s, np.full((100, 75), 42, dtype=np.uint32))
     assert tuple(a.minmax().first()) == (0, 42)  # edge blocks are padded with zeros
     assert a.average_compression_ratio() == 1.0 and a.set_compression(True).average_compression_ratio() < 0.9
-    zero = BlockedArray.empty(spark, s.with_(delete_empty=True)).write(Roi((0, 0), (40, 30)), numpy_cells(spark, np.zeros((40, 30), np.uint32), s))
+    zero = TileArray.empty(spark, s.with_(delete_empty=True)).write(Roi((0, 0), (40, 30)), numpy_cells(spark, np.zeros((40, 30), np.uint32), s))
     assert zero.num_blocks() == 0
     assert np.isnan(zero.average_compression_ratio())
 
 
 def test_dirty_rules(spark):
     s = spec("uint8", (10, 10), (100, 100))
-    a = BlockedArray.from_numpy(spark, s, np.ones((100, 100), dtype=np.uint8))
+    a = TileArray.from_numpy(spark, s, np.ones((100, 100), dtype=np.uint8))
     assert a.dirty_blocks().count() == 0
     d = a.set_dirty(Roi((3, 3), (4, 4)))
     assert d.dirty_blocks().count() == 1 and d.is_dirty(Roi((0, 0), (10, 10))) and not d.is_dirty(Roi((5, 5), (6, 6)))
@@ -197,7 +197,7 @@ def test_cache_fetches_only_what_it_must(spark):
 
 def test_snapshot_round_trip_and_pruning(spark, tmp_path):
     s = spec("float32", (4, 4), (12, 12), compressed=True)
-    a = BlockedArray.from_numpy(spark, s, np.arange(144, dtype=np.float32).reshape(12, 12)).set_dirty(Roi((0, 0), (2, 2)))
+    a = TileArray.from_numpy(spark, s, np.arange(144, dtype=np.float32).reshape(12, 12)).set_dirty(Roi((0, 0), (2, 2)))
     path = f"file://{tmp_path}/array"
     snapshot.save(a, path)
     b = snapshot.load(spark, path)
@@ -214,7 +214,7 @@ def test_snapshot_round_trip_and_pruning(spark, tmp_path):
 def test_stream_into_snapshot(spark, tmp_path):
     s = spec("int64", (4, 4), (8, 8))
     path, feed = f"file://{tmp_path}/array", f"{tmp_path}/feed"
-    snapshot.save(BlockedArray.empty(spark, s), path)
+    snapshot.save(TileArray.empty(spark, s), path)
     spark.createDataFrame([(1, 1, 5, 1), (1, 1, 6, 2), (7, 7, 9, 1)], "x0 int, x1 int, v bigint, ts int").write.parquet(feed)
     stream = spark.readStream.schema("x0 int, x1 int, v bigint, ts int").parquet(feed)
     ingest(stream, path, f"{tmp_path}/progress").awaitTermination()
