@@ -9,12 +9,13 @@ A suffix array of a whole corpus fits no task, so equal 100-byte strings are fir
 window of 100 bytes has a minimizer: the smallest hash among its LETTERS-byte strings (leftmost of equal
 ones). Equal windows have equal minimizers, at the same offset. Neighbouring windows with one minimizer
 form a stretch. Stretches are dealt by minimizer into buckets as packed arrays of hashes and positions
-(20-odd bytes each); a stretch alone with its minimizer has no copy; of stretches equal as a whole all
+(25 bytes each); a stretch alone with its minimizer has no copy; of stretches equal as a whole all
 but the first are copies throughout. Only where different stretches share a minimizer are their bytes
 fetched, and a suffix array over them, one for each minimizer, finds the equal windows.
 
-A batch of documents merges its own equal stretches before the shuffle, so a passage or document that
-fills a third of the rows reaches its bucket once a batch.
+A batch of documents settles its own equal stretches before the shuffle: all but the first are copies
+whatever the other batches hold, so a passage or document that fills a third of the rows reaches its
+bucket once a batch. Spans that touch are merged wherever spans are written.
 
 Defined cases: null and empty texts have no bytes; texts under 100 bytes are kept whole; documents are
 ordered by id, null ids first, rows of one id in the order they are read; extra columns are not read.
@@ -39,9 +40,9 @@ BUCKET_BYTES = 32 << 20
 NULL_ID = np.iinfo(np.int64).min
 _AT_BITS = np.uint64(28)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_STRETCH = np.dtype([("mhash", "u4"), ("chash", "u8"), ("doc", "i4"), ("start", "i4"), ("n", "u1")])
+_STRETCH = np.dtype([("mhash", "u8"), ("chash", "u8"), ("doc", "i4"), ("start", "i4"), ("n", "u1")])
 _SPAN = np.dtype([("start", "i4"), ("n", "i4")])
-_PIECE = np.dtype([("mhash", "u4"), ("start", "i4"), ("n", "i4")])
+_PIECE = np.dtype([("mhash", "u8"), ("start", "i4"), ("n", "i4")])
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -135,8 +136,9 @@ def stretches(texts: list[bytes]) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    least = _mixed((sums[LETTERS:] - sums[:-LETTERS]) * down[: len(data) - LETTERS + 1])
-    least = (least & ~((np.uint64(1) << _AT_BITS) - np.uint64(1))) | np.arange(len(least), dtype=np.uint64)
+    whole = _mixed((sums[LETTERS:] - sums[:-LETTERS]) * down[: len(data) - LETTERS + 1])
+    low = (np.uint64(1) << _AT_BITS) - np.uint64(1)
+    least = (whole & ~low) | np.arange(len(whole), dtype=np.uint64)
     width, want = 1, LENGTH - LETTERS + 1
     while width * 2 <= want:
         least = np.minimum(least[:-width], least[width:])
@@ -154,7 +156,7 @@ def stretches(texts: list[bytes]) -> np.ndarray:
     which = np.searchsorted(first, begin, "right") - 1
     out["doc"] = np.array([k for k, _ in held])[which]
     out["start"], out["n"] = begin - first[which], n
-    out["mhash"] = (least[cut] >> _AT_BITS) & np.uint64(0xFFFFFFFF)
+    out["mhash"] = whole[(least[cut] & low).astype(np.int64)]  # all 64 bits: few of a minimum's vary, and chance must not join stretches
     out["chash"] = _mixed((sums[begin + n + LENGTH - 1] - sums[begin]) * down[begin] + n.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
     return out
 
@@ -171,8 +173,24 @@ def _chunks(texts: list[bytes], size: int = 1 << 20):
         yield at, texts[at:]
 
 
+def _later_copies(ids: np.ndarray, rows: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of stretches: whether an equal one comes first by (id, row, start)."""
+    key = s["chash"] ^ (s["mhash"] * np.uint64(_BASE))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twice = np.zeros(len(s), dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    at = np.flatnonzero(twice)
+    at = at[np.lexsort((s["start"][at], rows[at], ids[at], s["n"][at], s["chash"][at], s["mhash"][at]))]
+    t = s[at]
+    equal = (t["mhash"][1:] == t["mhash"][:-1]) & (t["chash"][1:] == t["chash"][:-1]) & (t["n"][1:] == t["n"][:-1])
+    later = np.zeros(len(s), dtype=bool)
+    later[at[1:][equal]] = True
+    return later
+
+
 def _dealt(batch_texts: list[str], ids: np.ndarray, rows: np.ndarray, buckets: int):
-    """(bucket, blob) of a batch: its first copy of each stretch, and the places of the others."""
+    """(bucket, blobs) of a batch: the first copy of each of its stretches; below bucket 0, the spans of the others by row."""
     found = []
     texts = [t.encode("utf-8", "replace") for t in batch_texts]
     for at, part in _chunks(texts):
@@ -180,7 +198,11 @@ def _dealt(batch_texts: list[str], ids: np.ndarray, rows: np.ndarray, buckets: i
         s["doc"] += at
         found.append(s)
     s = np.concatenate(found) if found else np.zeros(0, _STRETCH)
-    bucket = s["mhash"] % np.uint32(buckets)
+    later = _later_copies(ids[s["doc"]], rows[s["doc"]], s)
+    for row, _, spans in _by_row(rows[s["doc"][later]], _spans(s[later]), 0):
+        yield -1 - row % buckets, np.int64(row).tobytes(), spans
+    s = s[~later]
+    bucket = s["mhash"] % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
     s, bucket = s[by], bucket[by]
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(s) else np.zeros(0, int)
@@ -192,10 +214,33 @@ def _dealt(batch_texts: list[str], ids: np.ndarray, rows: np.ndarray, buckets: i
         yield int(bucket[a]), ids[docs].tobytes() + rows[docs].tobytes(), own.tobytes()
 
 
+def _spans(s: np.ndarray) -> np.ndarray:
+    """The window starts of stretches or pieces."""
+    out = np.zeros(len(s), _SPAN)
+    out["start"], out["n"] = s["start"], s["n"]
+    return out
+
+
+def _merged(rows: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans by row and start, those that continue one another as one."""
+    order = np.lexsort((spans["start"], rows))
+    rows, spans = rows[order], spans[order]
+    if not len(rows):
+        return rows, spans
+    ends = spans["start"] + spans["n"]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (spans["start"][1:] != ends[:-1]))))
+    out = spans[first]
+    out["n"] = ends[np.append(first[1:], len(rows)) - 1] - out["start"]
+    return rows[first], out
+
+
 def _by_row(rows: np.ndarray, items: np.ndarray, kind: int):
     """(row, kind, bytes of the row's items), one for each row."""
-    order = np.argsort(rows, kind="stable")
-    rows, items = rows[order], items[order]
+    if items.dtype == _SPAN:
+        rows, items = _merged(rows, items)
+    else:
+        order = np.argsort(rows, kind="stable")
+        rows, items = rows[order], items[order]
     edge = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, int)
     for a, b in zip(edge, np.append(edge[1:], len(rows))):
         yield int(rows[a]), kind, items[a:b].tobytes()
@@ -209,7 +254,7 @@ def _table(found) -> pa.Table:
 def settle(ids: np.ndarray, rows: np.ndarray, s: np.ndarray):
     """Of a bucket's stretches: copies throughout (kind 0), and those sharing a minimizer with different ones (kind 1)."""
     key = s["mhash"]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     shared = np.zeros(len(s), dtype=bool)
     shared[order[1:][same]] = shared[order[:-1][same]] = True
@@ -220,9 +265,7 @@ def settle(ids: np.ndarray, rows: np.ndarray, s: np.ndarray):
     new_m = np.concatenate(([True], t["mhash"][1:] != t["mhash"][:-1])) if len(t) else np.zeros(0, bool)
     new_c = new_m.copy()
     new_c[1:] |= (t["chash"][1:] != t["chash"][:-1]) | (t["n"][1:] != t["n"][:-1])
-    spans = np.zeros((~new_c).sum(), _SPAN)
-    spans["start"], spans["n"] = t["start"][~new_c], t["n"][~new_c]
-    yield from _by_row(rows[at][~new_c], spans, 0)
+    yield from _by_row(rows[at][~new_c], _spans(t[~new_c]), 0)
     group = np.cumsum(new_m) - 1
     kinds = np.bincount(group[new_c], minlength=group[-1] + 1 if len(group) else 0)
     unclear = new_c & (kinds[group] > 1) if len(group) else new_c
@@ -268,7 +311,7 @@ def repeated_windows(parts: list[bytes], order: list[tuple]) -> list[np.ndarray]
 
 def _pieces_table(table: pa.Table) -> pa.Table:
     """Spans found by the suffix arrays of one bucket of pieces."""
-    mh = np.concatenate([np.frombuffer(b, "u4") for b in table.column("mhash").to_pylist()])
+    mh = np.concatenate([np.frombuffer(b, "u8") for b in table.column("mhash").to_pylist()])
     ids = np.concatenate([np.frombuffer(b, "i8") for b in table.column("ids").to_pylist()])
     rows = np.concatenate([np.frombuffer(b, "i8") for b in table.column("rows").to_pylist()])
     starts = np.concatenate([np.frombuffer(b, "i8") for b in table.column("starts").to_pylist()])
@@ -321,6 +364,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "docs", "items"])
 
     def gather(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:  # spans settled already
+            return _table((int.from_bytes(r, "little"), 0, blob) for r, blob in zip(table.column("docs").to_pylist(), table.column("items").to_pylist()))
         ids, rows, items = [], [], []
         for docs_blob, blob in zip(table.column("docs").to_pylist(), table.column("items").to_pylist()):
             who = np.frombuffer(docs_blob, "i8").reshape(2, -1)
@@ -345,7 +390,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = {"bucket": [], "mhash": [], "ids": [], "rows": [], "starts": [], "sizes": [], "data": []}
             for bucket, found in held.items():
                 out["bucket"].append(bucket)
-                for k, (name, kind) in enumerate((("mhash", "u4"), ("ids", "i8"), ("rows", "i8"), ("starts", "i8"))):
+                for k, (name, kind) in enumerate((("mhash", "u8"), ("ids", "i8"), ("rows", "i8"), ("starts", "i8"))):
                     out[name].append(np.array([f[k] for f in found], kind).tobytes())
                 out["sizes"].append(np.array([len(f[4]) for f in found], "i8").tobytes())
                 out["data"].append(b"".join(f[4] for f in found))
