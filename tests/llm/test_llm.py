@@ -295,11 +295,16 @@ def test_mix_odd(spark, odd, none):
 # -- 8: top-k -----------------------------------------------------------------------------------
 
 
-def test_topk_matches_oracle(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_oracle(spark, sf_dir, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
-    want = sorted(c.execute(queries.ORACLE_SQL["op8_exact_topk"]).fetchall())
-    assert sorted(map(tuple, queries.op8_exact_topk(spark, sf_dir).collect())) == want
+    for t in ("documents", "benchmark", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    want = c.execute(queries.ORACLE_SQL[name])
+    cols = [d[0] for d in want.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want.fetchall())
 
 
 def test_topk_ties_and_odd(spark, monkeypatch):
