@@ -9,9 +9,13 @@ A suffix array of a whole corpus fits no task, so equal 100-byte strings are fir
 window of 100 bytes has a minimizer: the smallest hash among its LETTERS-byte strings (leftmost of equal
 ones). Equal windows have equal minimizers, at the same offset. Neighbouring windows with one minimizer
 form a stretch. Stretches are dealt by minimizer into buckets as packed arrays of hashes and positions
-(25 bytes each); a stretch alone with its minimizer has no copy; of stretches equal as a whole all
-but the first are copies throughout. Only where different stretches share a minimizer are their bytes
-fetched, and a suffix array over them, one for each minimizer, finds the equal windows.
+(26 bytes each); a stretch alone with its minimizer has no copy; of stretches equal as a whole all
+but the first are copies throughout. Only where different stretches share a minimizer is
+their text read again. A passage that many documents hold has one minimizer and as many stretches as
+contexts, so these are dealt finer: windows are cut, by their place relative to the minimizer, into parts
+of BAND windows, which all hold the part's middle bytes (its core). Parts meet by core and differ in at most
+BAND - 1 bytes at either end; a suffix array over the parts of one core, the core being one symbol, finds
+the equal windows.
 
 A batch of documents settles its own equal stretches before the shuffle: all but the first are copies
 whatever the other batches hold, so a passage or document that fills a third of the rows reaches its
@@ -27,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +42,15 @@ LENGTH = 100
 LETTERS = 32
 #: Bytes of text a bucket stands for, on average.
 BUCKET_BYTES = 32 << 20
+#: Window starts of a part.
+BAND = 8
 NULL_ID = np.iinfo(np.int64).min
 _AT_BITS = np.uint64(28)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_STRETCH = np.dtype([("mhash", "u8"), ("chash", "u8"), ("doc", "i4"), ("start", "i4"), ("n", "u1")])
+_STRETCH = np.dtype([("mhash", "u8"), ("chash", "u8"), ("doc", "i4"), ("start", "i4"), ("n", "u1"), ("at", "u1")])
 _SPAN = np.dtype([("start", "i4"), ("n", "i4")])
-_PIECE = np.dtype([("mhash", "u8"), ("start", "i4"), ("n", "i4")])
+_PIECE = np.dtype([("mhash", "u8"), ("start", "i4"), ("n", "u1"), ("at", "u1")])
+_PART = np.dtype([("key", "u8"), ("doc", "i4"), ("start", "i4"), ("left", "u1"), ("right", "u1")])
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -126,7 +134,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(texts: list[bytes]) -> np.ndarray:
-    """The stretches of the windows of each text; `doc` is its place in the list."""
+    """The stretches of the windows of each text; `doc` is its place in the list, `at` the minimizer's in the stretch."""
     held = [(k, t) for k, t in enumerate(texts) if len(t) >= LENGTH]
     if not held:
         return np.zeros(0, _STRETCH)
@@ -156,7 +164,9 @@ def stretches(texts: list[bytes]) -> np.ndarray:
     which = np.searchsorted(first, begin, "right") - 1
     out["doc"] = np.array([k for k, _ in held])[which]
     out["start"], out["n"] = begin - first[which], n
-    out["mhash"] = whole[(least[cut] & low).astype(np.int64)]  # all 64 bits: few of a minimum's vary, and chance must not join stretches
+    minimizer = (least[cut] & low).astype(np.int64)
+    out["at"] = minimizer - begin
+    out["mhash"] = whole[minimizer]  # all 64 bits: few of a minimum's vary, and chance must not join stretches
     out["chash"] = _mixed((sums[begin + n + LENGTH - 1] - sums[begin]) * down[begin] + n.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
     return out
 
@@ -270,72 +280,125 @@ def settle(ids: np.ndarray, rows: np.ndarray, s: np.ndarray):
     kinds = np.bincount(group[new_c], minlength=group[-1] + 1 if len(group) else 0)
     unclear = new_c & (kinds[group] > 1) if len(group) else new_c
     pieces = np.zeros(unclear.sum(), _PIECE)
-    for f in ("mhash", "start", "n"):
+    for f in _PIECE.names:
         pieces[f] = t[f][unclear]
     yield from _by_row(rows[at][unclear], pieces, 1)
 
 
-def repeated_windows(parts: list[bytes], order: list[tuple]) -> list[np.ndarray]:
-    """Of strings with an order key (…, start): the window starts in each that occur earlier in another, by suffix array."""
+def repeated_windows(parts: list[list[int]], order: list[tuple], length: int) -> list[tuple[int, int]]:
+    """(part, start) of the windows of `length` symbols that occur earlier in another part, by suffix array.
+
+    Symbols are above 1; `order` holds the parts' order keys, the last element being where the part starts.
+    """
     text: list[int] = []
-    first = []
-    for p in parts:
-        first.append(len(text))
-        text.extend(b + 2 for b in p)
+    owner: list[int] = []
+    within: list[int] = []
+    for k, p in enumerate(parts):
+        text += p
         text.append(1)
+        owner += [k] * (len(p) + 1)
+        within += range(len(p) + 1)
     text.append(0)
-    joined = b"\0".join(parts)
-    owner = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
-    within = np.concatenate([np.arange(len(p) + 1) for p in parts])
-    size = np.repeat([len(p) for p in parts], [len(p) + 1 for p in parts])
-    marks = [np.zeros(max(0, len(p) - LENGTH + 1), dtype=bool) for p in parts]
+    found: list[tuple[int, int]] = []
     run: list[int] = []
 
     def close():
         if len(run) > 1:
-            keep = min(run, key=lambda a: (*order[owner[a]][:-1], order[owner[a]][-1] + int(within[a])))
-            for a in run:
-                if a != keep:
-                    marks[owner[a]][within[a]] = True
+            keep = min(run, key=lambda a: (*order[owner[a]][:-1], order[owner[a]][-1] + within[a]))
+            found.extend((owner[a], within[a]) for a in run if a != keep)
         run.clear()
 
-    sa = np.array(suffix_array(text)[1:], dtype=np.int64)
-    sa = sa[sa < len(owner)]
-    for a in sa[within[sa] + LENGTH <= size[sa]].tolist():
-        if run and joined[a : a + LENGTH] != joined[run[-1] : run[-1] + LENGTH]:
+    for a in suffix_array(text)[1:]:
+        if within[a] + length > len(parts[owner[a]]):
+            continue
+        if run and text[a : a + length] != text[run[-1] : run[-1] + length]:
             close()
         run.append(a)
     close()
-    return [np.flatnonzero(m) for m in marks]
-
-
-def _pieces_table(table: pa.Table) -> pa.Table:
-    """Spans found by the suffix arrays of one bucket of pieces."""
-    mh = np.concatenate([np.frombuffer(b, "u8") for b in table.column("mhash").to_pylist()])
-    ids = np.concatenate([np.frombuffer(b, "i8") for b in table.column("ids").to_pylist()])
-    rows = np.concatenate([np.frombuffer(b, "i8") for b in table.column("rows").to_pylist()])
-    starts = np.concatenate([np.frombuffer(b, "i8") for b in table.column("starts").to_pylist()])
-    sizes = np.concatenate([np.frombuffer(b, "i8") for b in table.column("sizes").to_pylist()])
-    data = b"".join(table.column("data").to_pylist())
-    first = np.cumsum(sizes) - sizes
-    order = np.argsort(mh, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], mh[order][1:] != mh[order][:-1])))
-    found_rows, found = [], []
-    for a, b in zip(edge, np.append(edge[1:], len(order))):
-        own = order[a:b]
-        parts = [data[first[k] : first[k] + sizes[k]] for k in own]
-        keys = [(int(ids[k]), int(rows[k]), int(starts[k])) for k in own]
-        for k, hit in zip(own, repeated_windows(parts, keys)):
-            if len(hit):
-                cut = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
-                n = np.diff(np.append(cut, len(hit)))
-                spans = np.zeros(len(cut), _SPAN)
-                spans["start"], spans["n"] = hit[cut] + starts[k], n
-                found.append(spans)
-                found_rows.append(np.full(len(cut), rows[k]))
-    if not found:
-        return _table([])
-    return _table(_by_row(np.concatenate(found_rows), np.concatenate(found), 0))
+    return found
+
+
+def cut_parts(data: bytes, pieces: np.ndarray):
+    """(key, start, left, right) of the parts of a document's pieces: the core's hash, the first window, the bytes beside the core."""
+    for mhash, start, n, at in pieces.tolist():
+        base = start + at - (LENGTH - LETTERS)
+        for band in range((start - base) // BAND, (start + n - 1 - base) // BAND + 1):
+            edge = base + band * BAND
+            low, high = max(start, edge), min(start + n, edge + BAND)
+            a, z = edge + BAND - 1, edge + LENGTH
+            yield xxhash.xxh3_64_intdigest(data[a:z], (mhash + band) & 0xFFFFFFFFFFFFFFFF), low, data[low:a], data[z : high - 1 + LENGTH]
+
+
+class _Parts:
+    """The first copy of each part seen, and the spans of all later ones."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, bytes, bytes], tuple[int, int, int]] = {}
+        self.rows: list[int] = []
+        self.spans: list[tuple[int, int]] = []
+
+    def add(self, key: int, left: bytes, right: bytes, place: tuple[int, int, int]) -> None:
+        held = self.first.setdefault((key, left, right), place)
+        if held is not place:
+            if place < held:
+                self.first[key, left, right], place = place, held
+            self.drop(place, len(left) + len(right) + 2 - BAND)
+
+    def drop(self, place: tuple[int, int, int], n: int) -> None:
+        self.rows.append(place[1])
+        self.spans.append((place[2], n))
+
+    def settled(self):
+        """(row, kind, spans) of what was dropped."""
+        return _by_row(np.array(self.rows, np.int64), np.array(self.spans, _SPAN), 0)
+
+
+def _dealt_parts(batch: pa.RecordBatch, buckets: int):
+    """(bucket, docs, items, edges) of the parts of a batch of (doc_id, text, row, pieces), as `_dealt`."""
+    parts = _Parts()
+    for doc_id, text, row, blobs in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        who = NULL_ID if doc_id is None else doc_id, row
+        for key, start, left, right in cut_parts(text.encode("utf-8", "replace"), np.frombuffer(b"".join(blobs), _PIECE)):
+            parts.add(key, left, right, (*who, start))
+    for row, _, spans in parts.settled():
+        yield -1 - row % buckets, np.int64(row).tobytes(), spans, b""
+    held: dict[int, list] = {}
+    for found in parts.first.items():
+        held.setdefault(found[0][0] % buckets, []).append(found)
+    for bucket, found in held.items():
+        docs: dict[tuple[int, int], int] = {}
+        items = [(key, docs.setdefault(place[:2], len(docs)), place[2], len(left), len(right)) for (key, left, right), place in found]
+        yield bucket, np.array(list(docs), np.int64).T.tobytes(), np.array(items, _PART).tobytes(), b"".join(left + right for (_, left, right), _ in found)
+
+
+def _settled(table: pa.Table) -> pa.Table | None:
+    """The spans of a bucket below 0, which are settled already."""
+    if table.column("bucket")[0].as_py() >= 0:
+        return None
+    return _table((int.from_bytes(r, "little"), 0, blob) for r, blob in zip(table.column("docs").to_pylist(), table.column("items").to_pylist()))
+
+
+def _parts_table(table: pa.Table) -> pa.Table:
+    """Spans found by the suffix arrays of one bucket of parts."""
+    if (known := _settled(table)) is not None:
+        return known
+    parts = _Parts()
+    for docs, items, edges in zip(*(table.column(c).to_pylist() for c in ("docs", "items", "edges"))):
+        ids, rows = np.frombuffer(docs, "i8").reshape(2, -1).tolist()
+        at = 0
+        for key, doc, start, left, right in np.frombuffer(items, _PART).tolist():
+            cut = at + left
+            parts.add(key, edges[at:cut], edges[cut : cut + right], (ids[doc], rows[doc], start))
+            at = cut + right
+    by_core: dict[int, list] = {}
+    for (key, left, right), place in parts.first.items():
+        by_core.setdefault(key, []).append(([b + 3 for b in left] + [2] + [b + 3 for b in right], place))
+    for found in by_core.values():
+        if len(found) > 1:
+            texts, places = zip(*found)
+            for k, start in repeated_windows(texts, places, BAND):
+                parts.drop((*places[k][:2], places[k][2] + start), 1)
+    return _table(parts.settled())
 
 
 def removed_runs(size: int, spans: np.ndarray) -> list[tuple[int, int]]:
@@ -364,8 +427,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "docs", "items"])
 
     def gather(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:  # spans settled already
-            return _table((int.from_bytes(r, "little"), 0, blob) for r, blob in zip(table.column("docs").to_pylist(), table.column("items").to_pylist()))
+        if (settled := _settled(table)) is not None:
+            return settled
         ids, rows, items = [], [], []
         for docs_blob, blob in zip(table.column("docs").to_pylist(), table.column("items").to_pylist()):
             who = np.frombuffer(docs_blob, "i8").reshape(2, -1)
@@ -382,23 +445,11 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def fetch(batches):
         for batch in batches:
-            held: dict[int, list] = {}
-            for doc_id, text, row, blobs in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = text.encode("utf-8", "replace")
-                for mhash, start, n in np.frombuffer(b"".join(blobs), _PIECE).tolist():
-                    held.setdefault(mhash % buckets, []).append((mhash, NULL_ID if doc_id is None else doc_id, row, start, data[start : start + n + LENGTH - 1]))
-            out = {"bucket": [], "mhash": [], "ids": [], "rows": [], "starts": [], "sizes": [], "data": []}
-            for bucket, found in held.items():
-                out["bucket"].append(bucket)
-                for k, (name, kind) in enumerate((("mhash", "u8"), ("ids", "i8"), ("rows", "i8"), ("starts", "i8"))):
-                    out[name].append(np.array([f[k] for f in found], kind).tobytes())
-                out["sizes"].append(np.array([len(f[4]) for f in found], "i8").tobytes())
-                out["data"].append(b"".join(f[4] for f in found))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()], names=list(out))
+            found = list(_dealt_parts(batch, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary() if k else pa.int32()) for k in range(4)], names=["bucket", "docs", "items", "edges"])
 
     pieces = numbered.join(unclear, "row").select("doc_id", "text", "row", "items")
-    pieces = pieces.mapInArrow(fetch, "bucket int, mhash binary, ids binary, rows binary, starts binary, sizes binary, data binary")
-    more = pieces.groupBy("bucket").applyInArrow(_pieces_table, "row bigint, kind int, items binary")
+    more = pieces.mapInArrow(fetch, "bucket int, docs binary, items binary, edges binary").groupBy("bucket").applyInArrow(_parts_table, "row bigint, kind int, items binary")
     spans = known.where("kind = 0").unionByName(more).groupBy("row").agg(F.collect_list("items").alias("spans"))
     return numbered, spans
 
