@@ -115,6 +115,28 @@ def test_dedup_matches_brute_force(spark, sf_dir):
     assert [got[k] for k in range(len(texts))] == brute_dedup(texts)
 
 
+def test_dedup_passage_in_many_contexts(spark):
+    """One passage in many documents, every context different or nearly so, over many small batches; ids repeat and are shuffled."""
+    rng = random.Random(21)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    passage = word("abcdefgh é", 260)
+    texts = []
+    for k in range(150):
+        cut = rng.randint(0, 30)
+        texts.append(word("xy", rng.randint(0, 12)) + passage[cut : 260 - rng.randint(0, 60)] + word("zw", rng.randint(0, 12)))
+        texts.append(word("ab", 140) if k % 3 else passage[:130] + word("abc", 1) + passage[131:])
+    rows = [(k // 2, t) for k, t in enumerate(texts)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+            got = Counter(tuple(r)[1:] for r in suffix_dedup.report(df).collect())
+            assert got == Counter(brute_dedup(texts))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_dedup_odd(spark, odd, none):
     out = suffix_dedup.report(odd).collect()
     assert len(out) == 8 and sum(r.n_removed for r in out if r.doc_id == 5) == next(r.n_bytes for r in out if r.doc_id == 5)
