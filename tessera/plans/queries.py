@@ -231,11 +231,11 @@ def _by_label(spark, d):
 
 
 def _suppliers(df: DataFrame) -> DataFrame:
-    """S3's cells labelled by supplier group 1..9, group 0 being background."""
-    return df.withColumn("label", (F.col("x0") % 10).cast("int")).where("label > 0")
+    """S3's cells labelled by supplier group 1..10."""
+    return df.withColumn("label", (F.col("x0") % 10 + 1).cast("int"))
 
 
-_SL = f"WITH {_S3}, c AS (SELECT *, x0 % 10 AS label FROM s3 WHERE x0 % 10 > 0), g AS (SELECT max(v) AS hi FROM s3)"
+_SL = f"WITH {_S3}, c AS (SELECT *, x0 % 10 + 1 AS label FROM s3), g AS (SELECT max(v) AS hi FROM s3)"
 _TL = f"WITH {_T3}, c AS (SELECT *, 1 + (x0 // 50) * 4 + (x1 // 15) * 2 + x2 // 12 AS label FROM t3)"
 
 
@@ -330,7 +330,7 @@ def region_axes(spark, d):
 @query()
 def region_features_all(spark, d):
     cells = fx.s3(spark, d)
-    labels = cells.select("x0", "x1", "x2", (F.col("x0") % 10).cast("int").alias("label"))
+    labels = cells.select("x0", "x1", "x2", (F.col("x0") % 10 + 1).cast("int").alias("label"))
     return ft.region_features(cells, labels, 3)
 
 
@@ -370,17 +370,17 @@ def cc_sizes(spark, d):
 
 # -- mesh ----------------------------------------------------------------------------------------
 
-_MESH_EXTENT = (100, 7, 50)
+_MESH_EXTENT = fx.S3.extent
 
 
 def _object(spark, d):
-    return fx.s3(spark, d).where((F.col("v") > 30000) & (F.col("x0") < 100)).select("x0", "x1", "x2", F.lit(1).alias("label"))
+    return fx.s3(spark, d).where(F.col("v") > 30000).select("x0", "x1", "x2", F.lit(1).alias("label"))
 
 
-_FACES = f"""WITH {_S3}, o AS (SELECT x0, x1, x2 FROM s3 WHERE v > 30000 AND x0 < 100),
+_FACES = f"""WITH {_S3}, o AS (SELECT x0, x1, x2 FROM s3 WHERE v > 30000),
     s AS (SELECT x0 - (CASE WHEN ax = 0 THEN dd ELSE 0 END) AS x, x1 - (CASE WHEN ax = 1 THEN dd ELSE 0 END) AS y, x2 - (CASE WHEN ax = 2 THEN dd ELSE 0 END) AS z, ax AS axis
       FROM o, range(0, 3) a(ax), range(0, 2) b(dd)),
-    f AS (SELECT x, y, z, axis FROM s GROUP BY ALL HAVING count(*) = 1 AND x BETWEEN 0 AND 98 AND y BETWEEN 0 AND 5 AND z BETWEEN 0 AND 48),
+    f AS (SELECT x, y, z, axis FROM s GROUP BY ALL HAVING count(*) = 1 AND x >= 0 AND y BETWEEN 0 AND 5 AND z BETWEEN 0 AND 48),
     k AS (SELECT x, y, z, axis, i, CASE WHEN i IN (1, 2) THEN 1 ELSE 0 END AS up, CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END AS late FROM f, range(0, 4) c(i)),
     p AS (SELECT f0.x AS fx, f0.y AS fy, f0.z AS fz, axis, i, x + CASE axis WHEN 0 THEN 1 WHEN 1 THEN late ELSE up END AS cx,
       y + CASE axis WHEN 1 THEN 1 WHEN 0 THEN up ELSE late END AS cy, z + CASE axis WHEN 2 THEN 1 WHEN 0 THEN late ELSE up END AS cz FROM k f0)"""
@@ -417,8 +417,8 @@ def mesh_verts(spark, d):
 
 
 def _marked(spark, d) -> TileArray:
-    """E2, its first 500 rows' blocks marked in one box, then cleaned in a full-height strip of it."""
-    a = TileArray(fx.E2, fx.e2(spark, d).where("x0 < 500"))
+    """E2 with its blocks marked in one box, then cleaned in a full-height strip of it."""
+    a = TileArray(fx.E2, fx.e2(spark, d))
     return a.set_dirty(Roi((60, 10), (240, 40))).set_dirty(Roi((100, 0), (200, 64)), False)
 
 
@@ -427,15 +427,15 @@ def dirty_blocks(spark, d):
     return _wide(_marked(spark, d).dirty_blocks())
 
 
-@query("SELECT a.range AS b0, b.range AS b1 FROM range(0, 10) a, range(0, 4) b WHERE NOT (a.range IN (1, 4) AND b.range IN (0, 1, 2))")
+@query("SELECT a.b0, b.range AS b1 FROM (SELECT DISTINCT vec_id // 50 AS b0 FROM embeddings) a, range(0, 4) b WHERE NOT (a.b0 IN (1, 4) AND b.range IN (0, 1, 2))")
 def clean_blocks(spark, d):
     return _wide(_marked(spark, d).clean_blocks())
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT), (1, 1), (10, 0), (10, 1)) t(b0, b1)")
+@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT), (1, 1), (335542, 0), (335542, 1)) t(b0, b1)")
 def is_dirty(spark, d):
     a = _marked(spark, d)
-    return _wide(a.needed_dirty(Roi((90, 12), (110, 20))).unionByName(a.needed_dirty(Roi((495, 12), (505, 20)))))
+    return _wide(a.needed_dirty(Roi((90, 12), (110, 20))).unionByName(a.needed_dirty(Roi((16777100, 12), (16777110, 20)))))
 
 
 @query("SELECT 1::BIGINT AS b0, b.range AS b1, 40::BIGINT AS n0, 16::BIGINT AS n1 FROM range(0, 4) b")
