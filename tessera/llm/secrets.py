@@ -8,16 +8,21 @@ is, and literals scoring `threshold` or more are reported at the place where the
 fixed lexical rules (assign, access, hex) always apply; spans the lexer adds have kind `lexed`, and
 are left out where a fixed rule's span already covers them.
 
-Defined cases: a null or empty text has no secrets; whole texts are lexed, of any length, in time
-linear in the text; repeated documents are scanned one by one; extra columns pass through; offsets
-are code points, ends exclusive.
+A constant built from other constants is kept as its parts and its character counts, never as a
+string, so `a = a + a` line after line costs no memory, and each literal of a secret is reported once.
+
+Defined cases: a null or empty text has no secrets; whole texts are lexed, with names, gaps and values
+of any length; repeated documents are scanned one by one; extra columns pass through; offsets are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,12 +46,15 @@ SENSITIVE = {
 }
 THRESHOLD = 0.7
 _HARMLESS = re.compile(r"(?:your|my|the|some|dummy|example|sample|test|change|replace|placeholder|none|null|true|false|todo|xxx|\*{3}|<|\$\{|%\()", re.I)
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-_STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({_NAME})["']?[\x20\t]{{0,8}}(?:=>|:=|[:=](?!=))[\x20\t]{{0,8}}(?=["'A-Za-z0-9+/_])""")
-_TERM = re.compile(rf"""[\x20\t]{{0,8}}(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=\-]+))""")
-_JOINER = re.compile(r"[\x20\t]{0,8}\+(?=[\x20\t]|[\"'])")
+# Possessive repeats: what follows can't begin inside them, so nothing is tried twice.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({_NAME})["']?[\x20\t]*+(?:=>|:=|[:=](?!=))[\x20\t]*+(?=["'A-Za-z0-9+/_])""")
+_TERM = re.compile(r"""[\x20\t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z0-9+/_.=\-]++))""")
+_JOINER = re.compile(r"[\x20\t]*+\+(?=[\x20\t]|[\"'])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_QUICK = re.compile(r"[A-Za-z0-9_\"'.\-][\x20\t]{0,8}[:=][=>]?[\x20\t]{0,8}[\"'A-Za-z0-9+/_]")
+_QUICK = re.compile(r"[A-Za-z0-9_\"'.\-][\x20\t]*+[:=][=>]?[\x20\t]*+[\"'A-Za-z0-9+/_]")
+#: Characters at a value's start that tell a placeholder.
+_HEAD = 16
 
 
 def name_score(name: str) -> float:
@@ -59,37 +67,90 @@ def name_score(name: str) -> float:
     return 1 - miss
 
 
-def literal_score(value: str) -> float:
-    """How key-like a literal is: length, entropy, mixture of classes; 0 for placeholders and short ones."""
-    n = len(value)
-    if n < 8 or _HARMLESS.match(value) or not value.isprintable():
+class Constant:
+    """The value of an assignment: its literals' spans and the constants it was built from, in order."""
+
+    __slots__ = ("_known", "parts", "text")
+
+    def __init__(self, text: str, parts: list[Constant | tuple[int, int]], summary: tuple[Counter, str] | None = None):
+        self.text, self.parts, self._known = text, parts, summary
+        if any(isinstance(p, Constant) for p in parts):
+            self.summary()  # at once: parts are known already, so this never goes deep
+
+    def summary(self) -> tuple[Counter, str]:
+        """Character counts and the first characters."""
+        if self._known is None:
+            counts, head = Counter(), ""
+            for p in self.parts:
+                own, start = p.summary() if isinstance(p, Constant) else (Counter(self.text[p[0] : p[1]]), self.text[p[0] : min(p[1], p[0] + _HEAD)])
+                counts.update(own)
+                head = (head + start)[:_HEAD]
+            self._known = counts, head
+        return self._known
+
+    def spans(self, seen: set[int]) -> list[tuple[int, int]]:
+        """Spans of the literals it was built from, but for constants in `seen`, which gets all met."""
+        out, todo = [], [self]
+        while todo:
+            now = todo.pop()
+            if id(now) not in seen:
+                seen.add(id(now))
+                out += [p for p in now.parts if not isinstance(p, Constant)]
+                todo += [p for p in now.parts if isinstance(p, Constant)]
+        return out
+
+
+def literal_score(counts: Counter, head: str) -> float:
+    """How key-like a literal is, from its character counts and first characters: length, entropy, mixture of classes.
+
+    0 for placeholders, short ones and such with control characters.
+    """
+    n = sum(counts.values())
+    if n < 8 or _HARMLESS.match(head) or not all(map(str.isprintable, counts)):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.5) * (0.6 if classes == 1 and not value.isdigit() else 1.0) * (0.5 if " " in value else 1.0)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n > 0)
+    has = ["a" <= c <= "z" and 1 or "A" <= c <= "Z" and 2 or "0" <= c <= "9" and 3 or 4 for c in counts]
+    classes = len(set(has))
+    return min(1.0, entropy / 3.5) * (0.6 if classes == 1 and not all(map(str.isdigit, counts)) else 1.0) * (0.5 if " " in counts else 1.0)
+
 
+def lex(text: str) -> list[tuple[str, Constant]]:
+    """Name and constant value of each assignment, in order.
 
-def lex(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, constant value, spans of the literals it was built from) of each assignment, in order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    out = []
+    Assignments inside a bare literal (`a=b=c`) share its end, and their counts are taken from one
+    running tail. A joined bare literal that holds an assignment is the next statement's.
+    """
+    known: dict[str, Constant] = {}
+    out, longest, bare, tail, tail_at = [], 0, (0, 0), None, 0
     for statement in _STATEMENT.finditer(text):
         name, at = statement[1], statement.end()
-        value, spans = "", []
-        while term := _TERM.match(text, at):
-            k = term.lastindex
-            word = term[k]
-            if k == 3 and word in known:
-                value, spans = value + known[word][0], spans + known[word][1]
+        parts: list[Constant | tuple[int, int]] = []
+        while True:
+            if bare[0] < at < bare[1]:
+                tail, tail_at = tail if tail is not None else Counter(text[at : bare[1]]), tail_at if tail is not None else at
+                tail.subtract(text[tail_at:at])
+                tail_at, kind, span, end = at, 3, (at, bare[1]), bare[1]
+            elif term := _TERM.match(text, at):
+                kind, span, end = term.lastindex, term.span(term.lastindex), term.end()
+                if kind == 3 and parts and "=" in text[span[0] : span[1]].rstrip("="):
+                    break
+                if kind == 3:
+                    bare, tail = span, None
             else:
-                value, spans = value + word, [*spans, term.span(k)]
-            at = term.end()
+                break
+            constant = known.get(text[span[0] : span[1]]) if kind == 3 and span[1] - span[0] <= longest else None
+            if constant is None and tail is not None and span[1] == bare[1] and span[0] == tail_at:
+                constant = Constant(text, [span], (+tail, text[at : min(end, at + _HEAD)]))
+            parts.append(constant or span)
+            at = end
             if not (joiner := _JOINER.match(text, at)):
                 break
             at = joiner.end()
-        if value:
-            known[name] = (value, spans[:8])
-            out.append((name, value, spans))
+        if any(isinstance(p, Constant) or p[1] > p[0] for p in parts):
+            value = parts[0] if len(parts) == 1 and isinstance(parts[0], Constant) else Constant(text, parts)
+            known[name] = value
+            longest = max(longest, len(name))
+            out.append((name, value))
     return out
 
 
@@ -108,12 +169,16 @@ def scan(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, str,
     """Base spans and all spans of a text, each by start, then kind as listed."""
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
     base = sorted(base_spans(text), key=order)
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    covered = lambda a, b: (k := bisect_right(starts, a)) > 0 and reach[k - 1] >= b
     added = set()
     if _QUICK.search(text):
-        for name, value, spans in lex(text):
+        seen: set[int] = set()
+        found = lex(text)
+        for name, value in found:
             sensitive = name_score(name)
-            if sensitive >= 0.5 and (sensitive + literal_score(value)) / 2 >= threshold and literal_score(value) > 0:
-                added.update((a, "lexed", b) for a, b in spans if b > a and not any(x <= a and b <= y for x, _, y in base))
+            if sensitive >= 0.5 and (key_like := literal_score(*value.summary())) > 0 and (sensitive + key_like) / 2 >= threshold:
+                added.update((a, "lexed", b) for a, b in value.spans(seen) if b > a and not covered(a, b))
     return base, sorted([*base, *added], key=order)
 
 
