@@ -13,7 +13,6 @@ rows and extra columns change nothing.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,6 @@ SYMBOLS = 32
 #: n-gram codes: 1-grams, then 2-grams, then 3-grams.
 CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _symbol_table() -> np.ndarray:
@@ -109,7 +107,7 @@ class RankOrder:
             self.ranks[code, at[lang]], self.found[code, at[lang]] = rank - 1, True
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.langs or not _LETTER.search(text):
+        if not self.langs or next(filter(str.isalpha, text), None) is None:
             return UNKNOWN, 0.0
         codes = ranked(gram_counts(text), self.top)
         places = np.abs(self.ranks[codes] - np.arange(len(codes))[:, None])
