@@ -7,7 +7,9 @@ prefix lies within the remaining words (the last one in part).
 
 A source may hold a third of all rows, so no window ever covers a whole source: keys are cut into bins,
 the words of each (source, bin) are summed first, the bins' prefix sums come from that small table, and
-row-level windows run within one bin.
+row-level windows run within one bin. Keys of one weight are exponential, so on a logarithmic scale no
+octave holds more than 26 % of them, whatever the weight: `bins` to an octave bound a bin's share of a
+source, also where all its weights are equal and low.
 
 Defined cases: a null source is a source of its own, after all others; a null or empty text has size 0
 and is taken 0 times; equal keys fall back on id and text hash, rows equal in all of these are
@@ -25,7 +27,7 @@ from .common import materialize
 WEIGHTS = (3.0, 1.0, 2.0)
 EPOCHS = 2
 TOTAL = 1.5
-#: Bins of the sampling order within a source.
+#: Bins of the sampling order within a source, to each doubling of the key.
 BINS = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -99,9 +101,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, epochs: int = EP
         tie.alias("tie"),
         u.alias("u"),
     )
-    power = F.pow("u", 1 / F.col("weight"))
     sized = materialize(
-        sized.withColumns({"key": -F.log("u") / F.col("weight"), "bin": F.least(F.floor((1 - power) * bins), F.lit(bins - 1)).cast("int")})
+        sized.withColumn("key", -F.log("u") / F.col("weight"))
+        .withColumn("bin", F.floor(F.log2(F.greatest(F.col("key"), F.lit(1e-18))) * bins).cast("int"))
         .withColumns({"known": F.col("source").isNotNull(), "name": F.coalesce("source", F.lit(""))})
         .drop("u")
     )
