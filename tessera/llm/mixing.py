@@ -28,7 +28,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 EPOCHS = 2
 TOTAL = 1.5
 #: Bins of the sampling order within a source, to each doubling of the key.
-BINS = 4096
+BINS = 512
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
