@@ -202,6 +202,7 @@ def test_language_odd(spark, odd, none):
     assert len(out) == 8 and Counter(r.lang_pred for r in out)["und"] == 3 and all(0 <= r.score <= 1 for r in out)
     assert language.identify(none, fold(none["doc_id"], 4) == 2).count() == 0
     assert language.fit(odd.where("false")).predict("hello") == ("und", 0.0)
+    assert [language.RankOrder([("en", 1, 1)]).predict(t)[0] for t in ("² ½", "123。", "é")] == ["und", "und", "en"]
 
 
 # -- 5: Jaccard join ----------------------------------------------------------------------------
@@ -368,6 +369,16 @@ def test_lexer_propagates_constants():
     assert base == [] and [text[a:b] for a, _, b in spans] == ["Zk3x9QpL7w", "Tt81Mm"]
 
 
+def test_lexer_has_no_lengths_of_its_own():
+    text = "secret_" + "n" * 300 + " " * 40 + "= 'Zk49tR9qLLp3'"
+    assert [text[a:b] for a, _, b in secrets.scan(text)[1]] == ["Zk49tR9qLLp3"]
+    parts = "".join(f"part{k} = 'x{k}Zk49tR9'\n" for k in range(12)) + "pwd = " + " + ".join(f"part{k}" for k in range(12))
+    assert len(secrets.scan(parts)[1]) == 12
+    doubled = "a = 'Zk4%tR9q'\n" + "a = a + a\n" * 500 + "pwd = a"
+    assert [doubled[a:b] for a, _, b in secrets.scan(doubled)[1]] == ["Zk4%tR9q"]
+    assert secrets.lex("x=y=z12")[1][1].summary()[0] == {"z": 1, "1": 1, "2": 1}
+
+
 def test_redaction_and_odd(spark, odd, none):
     docs = spark.createDataFrame([(1, 'say token = "24be64439e3e49cf46b2d7c90f3602a3" now', 9), (2, "clean: words = fine", 19)], "doc_id bigint, text string, n_chars bigint")
     out = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}
