@@ -277,6 +277,13 @@ def test_wrapper_induction_drops_what_pages_share():
     assert "The Daily Site" in html_text.extract(page(1))
 
 
+def test_wrapper_induction_drops_a_frame_longer_than_the_story():
+    page = lambda k: f"<html><body><nav>a long menu that goes by its kind</nav><div>The Daily Site</div><div><p>story {k} told.</p></div><div>All our offers</div></body></html>"
+    assert html_text.extract(page(1), [page(2), page(3)]) == html_text.extract(page(1), [page(2)]) == "story 1 told."
+    copy = "<!-- same article -->" + page(1)
+    assert html_text.extract(page(1), [copy, copy]) == html_text.extract(page(1))
+
+
 def test_pages_table(spark, sf_dir):
     pages = spark.createDataFrame([(1, "http://a/x", PAGE, 1), (1, "http://a/x", PAGE, 1), (2, None, None, 2), (3, "bad", "", 3), (None, "http://a/y", "<p>z", 4)], "page_id bigint, url string, html string, host int")
     out = html_text.main_text(pages).collect()
