@@ -284,6 +284,21 @@ def test_wrapper_induction_drops_a_frame_longer_than_the_story():
     assert html_text.extract(page(1), [copy, copy]) == html_text.extract(page(1))
 
 
+def test_templates_come_from_all_pages_of_a_host(spark):
+    """Ten layouts on one host, a notice on some pages of each, one page repeated most of all."""
+    page = lambda k: f"<body><div class='l{k % 10}'><div>menu of part {k % 10}</div>{'<div>Closed on Monday</div>' if k % 3 == 0 else ''}<div><p>story {k} told.</p></div></div></body>"
+    rows = [(k, "http://news/x", page(k)) for k in range(120)] + [(1000 + k, "http://news/x", page(7)) for k in range(200)]
+    rows += [(2000 + k, "http://two/x", f"<div>Frame of two</div><div>text {k}</div>") for k in range(2)] + [(3000, "http://one/x", "<div>alone</div>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    want = {k: f"story {k} told." for k in range(120)} | {1000 + k: "story 7 told." for k in range(200)} | {2000: "text 0", 2001: "text 1", 3000: "alone"}
+    assert got == want
+    # two pages that agree by chance don't make a template
+    few = [(k, "http://odd/x", f"<div>{'By Ann' if k < 2 else f'By {k}'}</div><p>text {k}</p>") for k in range(30)]
+    out = html_text.main_text(spark.createDataFrame(few, "page_id bigint, url string, html string")).collect()
+    assert all(r.text == f"By {'Ann' if r.page_id < 2 else r.page_id}\n\ntext {r.page_id}" for r in out)
+
+
 def test_pages_table(spark, sf_dir):
     pages = spark.createDataFrame([(1, "http://a/x", PAGE, 1), (1, "http://a/x", PAGE, 1), (2, None, None, 2), (3, "bad", "", 3), (None, "http://a/y", "<p>z", 4)], "page_id bigint, url string, html string, host int")
     out = html_text.main_text(pages).collect()
