@@ -1,10 +1,11 @@
 """Toxicity: a support vector machine on a gapped subsequence string kernel with Nystroem landmarks.
 
 Kernel: two words are compared by their common subsequences of `ORDER` letters, each occurrence weighted
-DECAY ** span, normalised to 1 for equal words and raised to a power. Characters that aren't letters match nothing and only
-widen spans, so `i.d.i.o.t`, `idxiot` and inflected forms stay near `idiot`; runs of single letters
-("i d i o t") are read as one word. Subsequences are enumerated explicitly: a kernel value with every
-landmark is one sum over the word's letter triples of rows of a small table.
+DECAY ** span, normalised to 1 for equal words and raised to a power. Characters that aren't letters match nothing;
+a run of them widens spans by one, however long it is, so `i.d.i.o.t` and `i----d----i----o----t` are equally near
+`idiot`, and `idxiot` and inflected forms stay near it; runs of single letters ("i d i o t") are read as one word.
+Subsequences of any span are enumerated explicitly: a kernel value with every landmark is one sum over the word's
+letter triples of rows of a small table.
 
 A sentence's kernel with a landmark is the best over its words. Nystroem features (K_mm ** -1/2) of the
 sentences feed a linear SVM, trained as a multiple-instance problem: labels belong to documents, all
@@ -39,8 +40,6 @@ DECAY = 0.7
 POWER = 3
 #: Longest piece of a word compared at once, in characters.
 PIECE = 14
-#: Letter triples wider than this count for nothing.
-MAX_SPAN = 10
 LANDMARKS = 96
 #: A word may be a toxic landmark if in this share of the toxic training texts, and so many times likelier there.
 MIN_SHARE, MIN_ODDS = 0.005, 6
@@ -51,6 +50,7 @@ REMEMBER = 300_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SINGLES = re.compile(r"\s\S[\x20\t]\S[\x20\t]\S(?!\S)")
+_GAP = re.compile(b"\0+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[\x20\t]){2,}\S(?!\S)")
 
 
@@ -73,8 +73,10 @@ def codes(word: str) -> bytes:
 
 
 def pieces(word: str) -> list[bytes]:
-    """The letter codes of a word, cut into overlapping pieces if it is long."""
+    """The letter codes of a word, each gap one place wide, cut into overlapping pieces if it is long."""
     c = codes(word)
+    if b"\0\0" in c:
+        c = _GAP.sub(b"\0", c)
     if len(c) <= 2 * PIECE:
         return [c] if len(c) >= ORDER else []
     return [c[k : k + 2 * PIECE].strip(b"\0") for k in range(0, len(c) - PIECE, PIECE)]
@@ -92,7 +94,7 @@ _PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     """All position triples within a word of n characters and their weights."""
     if n not in _PLACES:
-        at = np.array([c for c in combinations(range(n), ORDER) if c[-1] - c[0] < MAX_SPAN], dtype=np.int64)
+        at = np.array(list(combinations(range(n), ORDER)), dtype=np.int64).reshape(-1, ORDER)
         _PLACES[n] = at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
     return _PLACES[n]
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import pyarrow.parquet as pq
@@ -70,6 +71,31 @@ def test_toxicity_tolerates_gaps():
     assert k([toxicity.codes("idiot")])[0, 0] == pytest.approx(1, abs=1e-5) and k([toxicity.codes("i-d-i-o-t")])[0, 0] > 0.5 > k([toxicity.codes("idxiot")])[0, 0] > k([toxicity.codes("riot")])[0, 0]
 
 
+def brute_kernel(a, b):
+    def weights(word):
+        own = Counter()
+        for i, j, k in combinations(range(len(word)), 3):
+            if word[i] and word[j] and word[k]:
+                own[word[i], word[j], word[k]] += 0.7 ** (k - i + 1)
+        return own
+
+    x, y = weights(a), weights(b)
+    return (sum(x[t] * y[t] for t in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5) ** 3
+
+
+def test_toxicity_has_no_widest_gap():
+    base = ["the idiot is here today", "what an idiot you are", "an idiot and a fool", "go away idiot now"] * 3
+    model = toxicity.train([f"{t} {k}" for k, t in enumerate(base)], [f"the day is fine and number {k} goes on with idle riot of words" for k in range(40)])
+    hit = model.scorer()(["you i----d----i----o----t there", "i.d--i***o....t", ("*" * 40).join("idiot"), "an i - d - i - o - t"])
+    assert min(hit) >= 0.5 and toxicity.pieces("i----d----i--o-t") == toxicity.pieces("i.d.i.o.t")
+    word = "hypotheticalidiotxx"
+    for other in ("idxiot", "hypothetixxxxxxxxxcal", "hxxxxxxxxxxxxxyxxxxxp", "hyp-othe-tica"):
+        a, b = toxicity.codes(other), toxicity.codes(word)
+        want = brute_kernel(a, b)
+        got = toxicity.Kernel([b])([a])[0, 0]
+        assert got == pytest.approx(want, abs=1e-5) or (got == 0 and want < toxicity.LOUD)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_on_odd_input(spark, odd, none, module):
     held = lambda c: fold(c, 5) == 0
