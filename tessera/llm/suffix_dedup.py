@@ -416,8 +416,9 @@ def removed_runs(size: int, spans: np.ndarray) -> list[tuple[int, int]]:
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents as (row, doc_id, text), and (row, spans: list of packed spans) of those with removed windows."""
     spark = docs.sparkSession
-    numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    total = docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
+    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()))  # numbers the rows once
+    total = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     def deal(batches):

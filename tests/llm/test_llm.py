@@ -163,6 +163,26 @@ def test_dedup_passage_in_many_contexts(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_dedup_when_splits_change_between_jobs(spark, sf_dir, tmp_path, monkeypatch):
+    """The files of the input are dealt to other tasks after the first job, as when an executor joins or is lost."""
+    texts = [r["text"] for r in sorted(rows_of(sf_dir, "documents"), key=lambda r: r["doc_id"])][:60]
+    texts += [t[20:] for t in texts[:20]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    plain = suffix_dedup.materialize
+
+    def and_change(df):
+        out = plain(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", and_change)
+    try:
+        got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.report(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert [got[k] for k in range(len(texts))] == brute_dedup(texts)
+
+
 def test_dedup_odd(spark, odd, none):
     out = suffix_dedup.report(odd).collect()
     assert len(out) == 8 and sum(r.n_removed for r in out if r.doc_id == 5) == next(r.n_bytes for r in out if r.doc_id == 5)
