@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import materialize
+
 BINS = 50
 # The seven standard quantiles.
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -18,13 +20,15 @@ def labelled(data: DataFrame, labels: DataFrame, ndim: int) -> DataFrame:
     return data.select(*coords, "v").join(labels.where(F.col("label") > 0).select(*coords, "label"), coords)
 
 
+def _moments() -> list[Column]:
+    v = F.col("v").cast("double")
+    return [F.count("*").alias("count"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.skewness(v).alias("skewness"),
+            F.kurtosis(v).alias("kurtosis"), F.min("v").alias("minimum"), F.max("v").alias("maximum")]
+
+
 def moments(cells: DataFrame) -> DataFrame:
     """count, mean, variance (population), skewness, kurtosis (excess), minimum, maximum per label."""
-    v = F.col("v").cast("double")
-    return cells.groupBy("label").agg(
-        F.count("*").alias("count"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.skewness(v).alias("skewness"),
-        F.kurtosis(v).alias("kurtosis"), F.min("v").alias("minimum"), F.max("v").alias("maximum"),
-    )
+    return cells.groupBy("label").agg(*_moments())
 
 
 def value_range(data: DataFrame) -> DataFrame:
@@ -78,34 +82,56 @@ def quantiles(cells: DataFrame, span: DataFrame, bins: int = BINS) -> DataFrame:
 
 def geometry(cells: DataFrame, ndim: int) -> DataFrame:
     """Per label: centre c0.., and bounding box lo0.., hi0.. (inclusive)."""
+    return cells.groupBy("label").agg(*_geometry(ndim))
+
+
+def _geometry(ndim: int) -> list[Column]:
     out = [F.avg(f"x{i}").alias(f"c{i}") for i in range(ndim)]
-    out += [f(f"x{i}").alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in range(ndim)]
-    return cells.groupBy("label").agg(*out)
+    return out + [f(f"x{i}").alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in range(ndim)]
 
 
 def weighted_center(cells: DataFrame, ndim: int) -> DataFrame:
     """Per label: centre weighted by the values."""
+    return cells.groupBy("label").agg(*_weighted_center(ndim))
+
+
+def _weighted_center(ndim: int) -> list[Column]:
     v = F.col("v").cast("double")
-    return cells.groupBy("label").agg(*((F.sum(v * F.col(f"x{i}")) / F.nullif(F.sum(v), F.lit(0.0))).alias(f"w{i}") for i in range(ndim)))
+    return [(F.sum(v * F.col(f"x{i}")) / F.nullif(F.sum(v), F.lit(0.0))).alias(f"w{i}") for i in range(ndim)]
 
 
 def arg_extrema(cells: DataFrame, ndim: int) -> DataFrame:
     """Per label: coordinates of the smallest (mn0..) and largest (mx0..) value; ties to the first coordinates."""
+    return cells.groupBy("label").agg(*_extrema(ndim)).select("label", *_extrema_columns(ndim))
+
+
+def _extrema(ndim: int) -> list[Column]:
     at = F.struct(*(F.col(f"x{i}").alias(f"x{i}") for i in range(ndim)))
-    least = F.min(F.struct("v", at.alias("at"))).alias("a")
-    most = F.min(F.struct((-F.col("v")).alias("v"), at.alias("at"))).alias("b")
-    best = cells.groupBy("label").agg(least, most)
-    return best.select("label", *(F.col(f"a.at.x{i}").alias(f"mn{i}") for i in range(ndim)), *(F.col(f"b.at.x{i}").alias(f"mx{i}") for i in range(ndim)))
+    return [F.min(F.struct("v", at.alias("at"))).alias("a"), F.min(F.struct((-F.col("v")).alias("v"), at.alias("at"))).alias("b")]
+
+
+def _extrema_columns(ndim: int) -> list[Column]:
+    return [F.col(f"{s}.at.x{i}").alias(f"{n}{i}") for s, n in (("a", "mn"), ("b", "mx")) for i in range(ndim)]
+
+
+def _covariances(ndim: int) -> list[Column]:
+    return [F.covar_pop(f"x{i}", f"x{j}").alias(f"s{i}{j}") for i in range(ndim) for j in range(i, ndim)]
 
 
 def covariance(cells: DataFrame, ndim: int, weighted: bool = False) -> DataFrame:
     """Per label: population covariances s{i}{j} of the coordinates, i <= j; optionally weighted by the values."""
     if not weighted:
-        return cells.groupBy("label").agg(*(F.covar_pop(f"x{i}", f"x{j}").alias(f"s{i}{j}") for i in range(ndim) for j in range(i, ndim)))
+        return cells.groupBy("label").agg(*_covariances(ndim))
+    return centred(cells, weighted_center(cells, ndim), ndim)
+
+
+def centred(cells: DataFrame, centers: DataFrame, ndim: int) -> DataFrame:
+    """Covariances about given weighted centres (label, w0..): the differences are taken first, so large coordinates lose nothing."""
     v = F.col("v").cast("double")
-    mean = lambda c: F.sum(v * c) / F.nullif(F.sum(v), F.lit(0.0))
-    x = [F.col(f"x{i}").cast("double") for i in range(ndim)]
-    return cells.groupBy("label").agg(*((mean(x[i] * x[j]) - mean(x[i]) * mean(x[j])).alias(f"s{i}{j}") for i in range(ndim) for j in range(i, ndim)))
+    x = [F.col(f"x{i}") - F.col(f"w{i}") for i in range(ndim)]
+    total = F.nullif(F.sum(v), F.lit(0.0))
+    out = [(F.sum(v * x[i] * x[j]) / total).alias(f"s{i}{j}") for i in range(ndim) for j in range(i, ndim)]
+    return cells.join(centers, "label").groupBy("label").agg(*out)
 
 
 def principal_axes(cov: DataFrame, ndim: int) -> DataFrame:
@@ -128,14 +154,20 @@ def principal_axes(cov: DataFrame, ndim: int) -> DataFrame:
 
 
 def region_features(data: DataFrame, labels: DataFrame, ndim: int, bins: int = BINS, span: tuple[float, float] | None = None, dense: bool = False) -> DataFrame:
-    """All statistics of every region in one wide row per label; dense: also labels 0..max without cells."""
-    cells = labelled(data, labels, ndim)
+    """All statistics of every region in one wide row per label; dense: also labels 0..max without cells.
+
+    The cells of the regions are joined and written once; one aggregation gives all but the histogram and the weighted spread.
+    """
+    cells = materialize(labelled(data, labels, ndim))
     spark = data.sparkSession
     rng = value_range(data) if span is None else spark.createDataFrame([(float(span[0]), float(span[1]))], "lo double, hi double")
-    out = moments(cells).join(histogram(cells, rng, bins), "label").join(quantiles(cells, rng, bins), "label", "left")
-    out = out.join(geometry(cells, ndim), "label").join(weighted_center(cells, ndim), "label").join(arg_extrema(cells, ndim), "label")
-    out = out.join(principal_axes(covariance(cells, ndim), ndim), "label")
-    out = out.join(principal_axes(covariance(cells, ndim, True), ndim).select("label", F.col("radii").alias("w_radii"), F.col("axes").alias("w_axes")), "label")
+    one = materialize(cells.groupBy("label").agg(*_moments(), *_geometry(ndim), *_weighted_center(ndim), *_extrema(ndim), *_covariances(ndim)))
+    spread = [f"s{i}{j}" for i in range(ndim) for j in range(i, ndim)]
+    out = one.select(*(c for c in one.columns if c not in ("a", "b", *spread)), *_extrema_columns(ndim))
+    out = out.join(histogram(cells, rng, bins), "label").join(quantiles(cells, rng, bins), "label", "left")
+    out = out.join(principal_axes(one.select("label", *spread), ndim), "label")
+    weighted = centred(cells, one.select("label", *(f"w{i}" for i in range(ndim))), ndim)
+    out = out.join(principal_axes(weighted, ndim).select("label", F.col("radii").alias("w_radii"), F.col("axes").alias("w_axes")), "label")
     if dense:
         top = labels.agg(F.max("label")).first()[0] or 0
         out = spark.range(top + 1).select(F.col("id").cast(dict(labels.dtypes)["label"]).alias("label")).join(out, "label", "left")

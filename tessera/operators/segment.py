@@ -56,8 +56,8 @@ def connected_components(cells: DataFrame, spec: ArraySpec) -> DataFrame:
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         at = tuple(pdf[c].to_numpy() % s for c, s in zip(coords, shape))
-        values = np.zeros(shape, dtype=np.float64)
-        values[at] = pdf["v"].astype(np.float64)
+        values = np.zeros(shape, dtype=np.int64)
+        values[at] = pd.factorize(pdf["v"])[0] + 1  # equal values, equal codes; exact for every type
         start = [int(pdf[c].iloc[0]) // s * s for c, s in zip(coords, shape)]
         ids = np.zeros(shape, dtype=np.int64)
         for k, (o, n) in enumerate(zip(start, extent)):
@@ -82,4 +82,4 @@ def connected_components(cells: DataFrame, spec: ArraySpec) -> DataFrame:
     merged = components(edges.distinct()).withColumnRenamed("root", "top")
     rooted = labelled.join(merged, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("top", "root"))
     numbers = consecutive(rooted.select("root").distinct(), ["root"], "label", start=1)
-    return rooted.join(numbers, "root").select(*coords, F.col("label").cast("int").alias("label"))
+    return rooted.join(numbers, "root").select(*coords, "label")

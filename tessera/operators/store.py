@@ -26,11 +26,17 @@ def _all(terms: list[Column]) -> Column:
 class TileArray:
     """Immutable handle of three DataFrames and a spec."""
 
-    def __init__(self, spec: ArraySpec, cells: DataFrame, blocks: DataFrame | None = None, dirty: DataFrame | None = None):
+    def __init__(self, spec: ArraySpec, cells: DataFrame, blocks: DataFrame | None = None, dirty: DataFrame | None = None, ranges: DataFrame | None = None):
+        """`cells` may carry the block columns it is stored by; reads then name them. `ranges`: b0.., vmin, vmax, if tracked."""
         self.spec, self.spark = spec, cells.sparkSession
-        self.cells = cells.select(*(F.col(c).cast("int").alias(c) for c in spec.coords), F.col("v").cast(spec.value_type).alias("v"))
+        kinds = dict(cells.dtypes)
+        at = [F.col(c) if kinds[c] in ("int", "bigint") else F.col(c).cast("int").alias(c) for c in spec.coords]  # no cast between a predicate and the scan
+        v = F.col("v").cast(spec.value_type).alias("v")
+        self._stored = cells.select(*spec.blocks, *at, v) if set(spec.blocks) <= set(kinds) else None
+        self.cells = cells.select(*at, v)
         self.blocks = blocks if blocks is not None else with_blocks(self.cells, spec.block_shape).select(*spec.blocks).distinct()
         self.dirty = dirty if dirty is not None else self._no_dirty()
+        self._ranges = (ranges if ranges is not None else self.directory().select(*spec.blocks, "vmin", "vmax")) if spec.minmax else None
 
     # -- construction ---------------------------------------------------------------------------
 
@@ -49,14 +55,27 @@ class TileArray:
     def _no_dirty(self) -> DataFrame:
         return self.spark.createDataFrame([], ", ".join(f"{c} int" for c in [*self.spec.blocks, "axis", "slice"]))
 
-    def _with(self, cells=None, blocks=None, dirty=None, spec=None) -> "TileArray":
-        return TileArray(spec or self.spec, self.cells if cells is None else cells, self.blocks if blocks is None else blocks, self.dirty if dirty is None else dirty)
+    def _with(self, cells=None, blocks=None, dirty=None, spec=None, ranges=None) -> "TileArray":
+        same = self._stored if self._stored is not None else self.cells
+        ranges = self._ranges if ranges is None and cells is None else ranges
+        return TileArray(spec or self.spec, same if cells is None else cells, self.blocks if blocks is None else blocks, self.dirty if dirty is None else dirty, ranges)
+
+    def _inside_cells(self, roi: Roi) -> DataFrame:
+        """Cells of a region; where they are stored by block, the predicate names the blocks too."""
+        if self._stored is None:
+            return self.cells.where(roi.contains())
+        return self._stored.where(roi.cells(self.spec.block_shape)).select(*self.spec.coords, "v")
+
+    def block_cells(self, box: Roi | None = None) -> DataFrame:
+        """Cells with their block columns; of a box of blocks only, if given."""
+        out = self._stored if self._stored is not None else with_blocks(self.cells, self.spec.block_shape)
+        return out if box is None else out.where(box.contains("b"))
 
     # -- reads ----------------------------------------------------------------------------------
 
     def read(self, roi: Roi, dense: bool = False) -> DataFrame:
         """Cells of a region; dense: every cell of it, 0 where nothing is stored."""
-        inside = self.cells.where(roi.contains())
+        inside = self._inside_cells(roi)
         if not dense:
             return inside
         zero = F.lit(0).cast(self.spec.value_type)
@@ -74,6 +93,15 @@ class TileArray:
         order = [*self.spec.blocks, *reversed(self.spec.coords)]
         return with_blocks(self.cells.where(F.col("v") != 0), self.spec.block_shape).orderBy(*order).select(*self.spec.coords, "v")
 
+    def coordinate_lists(self) -> DataFrame:
+        """The non-zero cells while coordinate lists are enabled, else no row."""
+        return self.nonzero() if self.spec.coo else self.nonzero().limit(0)
+
+    def nonzero_numpy(self) -> list[np.ndarray]:
+        """One array a coordinate, then the values, on the driver."""
+        rows = self.nonzero().toPandas()
+        return [rows[c].to_numpy() for c in [*self.spec.coords, "v"]]
+
     def to_numpy(self, roi: Roi) -> np.ndarray:
         """A region as a dense array on the driver."""
         out = np.zeros(roi.shape(), dtype=self.spec.dtype if self.spec.dtype != "bool" else bool)
@@ -98,7 +126,12 @@ class TileArray:
             blocks = blocks.join(gone, self.spec.blocks, "left_anti")
             dirty = dirty.join(gone, self.spec.blocks, "left_anti")
             cells = with_blocks(cells, self.spec.block_shape).join(gone, self.spec.blocks, "left_anti").select(*self.spec.coords, "v")
-        return self._with(cells, blocks, dirty)
+        ranges = None
+        if self._ranges is not None:  # only the touched blocks are measured again
+            box = roi.block_range(self.spec.block_shape)
+            there = TileArray(self.spec.with_(minmax=False), with_blocks(cells, self.spec.block_shape).where(box.contains("b")), blocks.where(box.contains("b")), dirty)
+            ranges = self._ranges.where(~box.contains("b")).unionByName(there.directory().select(*self.spec.blocks, "vmin", "vmax"))
+        return self._with(cells, blocks, dirty, ranges=ranges)
 
     def write(self, roi: Roi, patch: DataFrame) -> "TileArray":
         """Replace a region by the patch's cells (absolute coordinates); cells it lacks become 0. Creates blocks."""
@@ -116,29 +149,31 @@ class TileArray:
     def write_nonzero(self, roi: Roi, patch: DataFrame, write_as_zero) -> "TileArray":
         """Masked write: 0 keeps the old value, `write_as_zero` writes 0, anything else is written."""
         new = patch.where(roi.contains()).select(*self.spec.coords, F.col("v").cast(self.spec.value_type).alias("new"))
-        both = self.cells.join(new, self.spec.coords, "full_outer")
+        both = self._inside_cells(roi).join(new, self.spec.coords, "full_outer")  # the cells outside aren't shuffled
         zero = F.lit(0).cast(self.spec.value_type)
         v = F.when(F.col("new").isNull() | (F.col("new") == 0), F.coalesce("v", zero)).when(F.col("new") == write_as_zero, zero).otherwise(F.col("new"))
-        return self._written(roi, both.select(*self.spec.coords, v.alias("v")))
+        return self._written(roi, self.cells.where(~roi.contains()).unionByName(both.select(*self.spec.coords, v.alias("v"))))
 
     def delete(self, roi: Roi) -> "TileArray":
         """Drop every block the region touches, whole."""
         hit = roi.block_range(self.spec.block_shape).contains("b")
-        cells = with_blocks(self.cells, self.spec.block_shape).where(~hit).select(*self.spec.coords, "v")
-        return self._with(cells, self.blocks.where(~hit), self.dirty.where(~hit))
+        cells = self.block_cells().where(~hit).select(*self.spec.coords, "v")
+        ranges = None if self._ranges is None else self._ranges.where(~hit)
+        return self._with(cells, self.blocks.where(~hit), self.dirty.where(~hit), ranges=ranges)
 
     def relabel(self, lut: DataFrame) -> "TileArray":
         """v := r[v mod len(r)] for every cell of every stored block; lut: (k 0.., r). Zeros of stored blocks follow r[0].
 
         The table may be of any size: it is joined on the index, and Catalyst broadcasts it if it is small.
+        A value whose index the table lacks is kept.
         """
         n, zero_to = lut.agg(F.count("*"), F.max(F.when(F.col("k") == 0, F.col("r")))).first()
         cells = self.cells
         if zero_to:
             cells = self.dense_cells()
         index = F.pmod(F.col("v").cast("bigint"), F.lit(n))
-        out = cells.withColumn("k", index).join(lut.select(F.col("k").cast("bigint").alias("k"), "r"), "k").select(*self.spec.coords, F.col("r").alias("v"))
-        return self._with(out)
+        out = cells.withColumn("k", index).join(lut.select(F.col("k").cast("bigint").alias("k"), "r"), "k", "left")
+        return self._with(out.select(*self.spec.coords, F.coalesce(F.col("r").cast(self.spec.value_type), "v").alias("v")))
 
     def dense_cells(self) -> DataFrame:
         """Every cell of every stored block (clipped to the extent), zeros included."""
@@ -159,6 +194,7 @@ class TileArray:
         return self._with(spec=self.spec.with_(compressed=on))
 
     def set_minmax(self, on: bool) -> "TileArray":
+        """Keep each block's smallest and largest value: measured now, and after a write only where it touched."""
         return self._with(spec=self.spec.with_(minmax=on))
 
     def set_coordinate_lists(self, on: bool) -> "TileArray":
@@ -191,8 +227,8 @@ class TileArray:
         )
 
     def minmax(self) -> DataFrame:
-        """One row (vmin, vmax) over the directory."""
-        return self.directory().agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+        """One row (vmin, vmax) over the tracked ranges of the blocks, or over the directory without them."""
+        return (self.directory() if self._ranges is None else self._ranges).agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
 
     def num_blocks(self) -> int:
         return self.blocks.count()
@@ -216,7 +252,7 @@ class TileArray:
         return Roi(tuple(i * s for i, s in zip(b, self.spec.block_shape)), tuple((i + 1) * s for i, s in zip(b, self.spec.block_shape)))
 
     def compression(self) -> DataFrame:
-        """b0.., raw_bytes, stored_bytes of each stored block; stored is snappy's size if the array is compressed."""
+        """b0.., raw_bytes, stored_bytes, compressed of each stored block; stored is snappy's size if the array is compressed."""
         spec = self.spec
         dtype = np.dtype(spec.dtype)
 
@@ -230,16 +266,26 @@ class TileArray:
             packed = -(-packed // dtype.itemsize) * dtype.itemsize if spec.compressed else packed
             return pd.DataFrame([(*key, len(raw), packed)], columns=[*spec.blocks, "raw_bytes", "stored_bytes"])
 
-        cells = self.blocks.join(with_blocks(self.cells, spec.block_shape), spec.blocks, "left")
+        if not spec.compressed:  # sizes follow from the directory alone
+            raw = F.lit(spec.block_cells * ITEM_BYTES[spec.dtype]).cast("bigint")
+            return self.blocks.select(*spec.blocks, raw.alias("raw_bytes"), raw.alias("stored_bytes"), F.lit(False).alias("compressed"))
+        cells = self.blocks.join(self.block_cells(), spec.blocks, "left")
         ints = ", ".join(f"{b} int" for b in spec.blocks)
-        return cells.groupBy(*spec.blocks).applyInPandas(size, f"{ints}, raw_bytes bigint, stored_bytes bigint")
+        return cells.groupBy(*spec.blocks).applyInPandas(size, f"{ints}, raw_bytes bigint, stored_bytes bigint").withColumn("compressed", F.lit(True))
+
+    def sizes(self) -> DataFrame:
+        """One row: blocks, compressed blocks, uncompressed_bytes, size_bytes and the mean of the blocks' ratios (null without blocks)."""
+        return self.compression().agg(
+            F.count("*").alias("blocks"), F.count_if("compressed").alias("compressed_blocks"), F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("uncompressed_bytes"),
+            F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("size_bytes"), F.avg(F.col("stored_bytes") / F.col("raw_bytes")).alias("ratio"),
+        )
 
     def size_bytes(self) -> int:
-        return self.compression().agg(F.sum("stored_bytes")).first()[0] or 0
+        return self.sizes().first()["size_bytes"]
 
     def average_compression_ratio(self) -> float:
         """Mean of the blocks' ratios; NaN without blocks."""
-        got = self.compression().agg(F.avg(F.col("stored_bytes") / F.col("raw_bytes"))).first()[0]
+        got = self.sizes().first()["ratio"]
         return float("nan") if got is None else float(got)
 
     # -- dirty tracking -------------------------------------------------------------------------
@@ -309,10 +355,34 @@ class TileArray:
     def clean_blocks(self) -> DataFrame:
         return self.blocks.join(self.dirty.select(*self.spec.blocks).distinct(), self.spec.blocks, "left_anti")
 
+    def dirty_slices(self, axis: int, at: int) -> DataFrame:
+        """Stored blocks (b0..) whose slice `at` of an axis is dirty; `at` counts from the block's low corner."""
+        return self.dirty.where((F.col("axis") == axis) & (F.col("slice") == at)).select(*self.spec.blocks)
+
+    def set_slice_dirty(self, axis: int, at: int, dirty: bool = True) -> "TileArray":
+        """Mark or clean one slice of an axis in every stored block that reaches that far."""
+        here = (F.col("axis") == axis) & (F.col("slice") == at)
+        rest = self.dirty.where(~here)
+        if not dirty:
+            return self._with(dirty=rest)
+        marked = self._sides(self.blocks).where(F.col(f"n{axis}") > at).select(*self.spec.blocks, F.lit(axis).alias("axis"), F.lit(at).alias("slice"))
+        return self._with(dirty=rest.unionByName(marked))
+
+    def differences(self, other: "TileArray") -> DataFrame:
+        """part ('cells', 'blocks', 'dirty') and n: rows of either side that the other lacks; cells of value 0 are as absent."""
+        out = None
+        for part in ("cells", "blocks", "dirty"):
+            a, b = (getattr(x, part) for x in (self, other))
+            if part == "cells":
+                a, b = a.where(F.col("v") != 0), b.where(F.col("v") != 0)
+            b = b.select(*a.columns)
+            n = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+            out = n if out is None else out.unionByName(n)
+        return out
+
     def equals(self, other: "TileArray") -> bool:
-        """Same non-zero cells."""
-        a, b = (x.cells.where(F.col("v") != 0) for x in (self, other))
-        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        """Same block shape, non-zero cells, stored blocks and dirty slices."""
+        return self.block_shape == other.block_shape and self.differences(other).where("n > 0").isEmpty()
 
 
 def numpy_cells(spark: SparkSession, a: np.ndarray, spec: ArraySpec, origin: tuple[int, ...] | None = None) -> DataFrame:

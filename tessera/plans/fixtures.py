@@ -11,7 +11,7 @@ from .spec import ArraySpec
 def e2(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as a matrix (vec_id, dimension)."""
     t = spark.read.parquet(f"{d}/embeddings.parquet")
-    return t.select(F.col("vec_id").cast("int").alias("x0"), F.posexplode("embedding").alias("x1", "v"))
+    return t.select(F.col("vec_id").cast("bigint").alias("x0"), F.posexplode("embedding").alias("x1", "v"))
 
 
 def s3(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,27 @@ def read_cubes(spark: SparkSession, path: str, roi: Roi | None = None) -> DataFr
                     yield pd.DataFrame({f"x{i}": at[i].astype(np.int32) for i in range(3)} | {"v": part.ravel().astype(np.int16)})
 
     return files.mapInPandas(decode, "x0 int, x1 int, x2 int, v smallint")
+
+
+class KnossosSource:
+    """A cube directory as a source; with a region set, coordinates are relative to its low corner."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.roi = spark, path, None
+        self.config = read_config(spark, path)
+
+    def set_roi(self, roi: Roi) -> None:
+        self.roi = None if roi == Roi.empty(roi.ndim) else roi
+
+    def shape(self) -> tuple[int, ...]:
+        """The boundary, cut to the region."""
+        whole = Roi((0, 0, 0), self.config["boundary"])
+        common = whole if self.roi is None else whole.intersect(self.roi)
+        return common.shape() if common else (0, 0, 0)
+
+    def read_block(self, roi: Roi) -> DataFrame:
+        """Voxels of a box in this source's coordinates, clipped to its region."""
+        low = self.roi.p if self.roi else (0, 0, 0)
+        box = roi + low
+        box = box if self.roi is None else box.intersect(self.roi) or Roi(low, low)
+        return read_cubes(self.spark, self.path, box).withColumns({f"x{i}": (F.col(f"x{i}") - a).cast("int") for i, a in enumerate(low)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.region import with_blocks
 from ..operators.store import TileArray
-from ..sources.snapshot import load, save
+from ..sources.snapshot import load, save_blocks
 
 
 def last_writes(patches: DataFrame, coords: list[str]) -> DataFrame:
@@ -19,8 +19,8 @@ def upsert(array: TileArray, patches: DataFrame) -> TileArray:
     """Write single cells; blocks they touch are created, and the cells' slices marked dirty."""
     spec = array.spec
     new = last_writes(patches, spec.coords)
-    kept = array.cells.join(new.select(*spec.coords), spec.coords, "left_anti")
     touched = with_blocks(new, spec.block_shape)
+    kept = array.block_cells().join(touched.select(*spec.blocks, *spec.coords), [*spec.blocks, *spec.coords], "left_anti").select(*spec.coords, "v")
     blocks = array.blocks.unionByName(touched.select(*spec.blocks).distinct()).distinct()
     axes = F.array(*(F.struct(F.lit(i).alias("axis"), (F.col(f"x{i}") % s).cast("int").alias("slice")) for i, s in enumerate(spec.block_shape)))
     dirty = touched.select(*spec.blocks, F.explode(axes).alias("a")).select(*spec.blocks, "a.axis", "a.slice")
@@ -28,9 +28,10 @@ def upsert(array: TileArray, patches: DataFrame) -> TileArray:
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, **trigger):
-    """Start a query that folds every micro-batch into the snapshot at `path` (it must exist)."""
+    """Start a query that folds every micro-batch into the snapshot at `path` (it must exist); only partitions it touches are rewritten."""
 
     def fold(batch: DataFrame, _: int) -> None:
-        save(upsert(load(batch.sparkSession, path), batch), path)
+        array = load(batch.sparkSession, path)
+        save_blocks(upsert(array, batch), path, with_blocks(batch, array.spec.block_shape).select("b0"))
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
