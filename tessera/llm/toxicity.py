@@ -1,29 +1,31 @@
 """Toxicity: a support vector machine on a gapped subsequence string kernel with Nystroem landmarks.
 
-Kernel: two words are compared by their common subsequences of `ORDER` letters, each occurrence weighted
-DECAY ** span, normalised to 1 for equal words and raised to a power. Characters that aren't letters match nothing;
-a run of them widens spans by one, however long it is, so `i.d.i.o.t` and `i----d----i----o----t` are equally near
-`idiot`, and `idxiot` and inflected forms stay near it; runs of single letters ("i d i o t") are read as one word.
-Subsequences of any span are enumerated explicitly: a kernel value with every landmark is one sum over the word's
-letter triples of rows of a small table.
-
-A sentence's kernel with a landmark is the best over its words. Nystroem features (K_mm ** -1/2) of the
-sentences feed a linear SVM, trained as a multiple-instance problem: labels belong to documents, all
-sentences of clean documents are negative, and the witness sentence of each toxic document is chosen
-anew by the current machine. A document scores by its worst sentence, calibrated to a probability.
-
-The training texts are at most `MAX_TRAIN` labelled rows a class; everything else covers all documents.
+Kernel of words: common subsequences of `ORDER` letters, each occurrence weighted DECAY ** span, normalised to 1 for
+equal words and raised to `POWER` (a kernel again). Characters that aren't letters match nothing; a run of them widens
+spans by one, however long it is, so `i.d.i.o.t` and `i----d----i----o----t` are equally near `idiot`; letters spelled
+apart ("i d i o t") are read as one word. Words of up to `LONGEST` places have their letter triples listed, longer
+ones summed by a recursion (`triple_sums`); both give the same sums, nothing is cut or left out.
+
+Kernel of a sentence with a landmark word: the best over the sentence's words, each word's row of kernel values being
+exact. Landmarks are words, sentences of one word, so the features K_mm ** -1/2 k(landmarks, sentence) and K_mm come from
+one kernel. They feed a linear SVM, trained as a multiple-instance problem: labels belong to documents, all sentences of
+clean documents are negative, and the witness sentence of each toxic document is chosen anew by the current machine;
+each toxic document is learned from once more with a letter inserted into each longer word. A letter that alone stands
+at every second place of a word is filler, like a gap. A document scores by its worst sentence, calibrated to a probability.
+
+The training texts are at most `MAX_TRAIN` labelled rows a class, landmarks at most `LANDMARKS`; everything else covers
+all documents.
 
 Defined cases: a null or empty text has no sentence and scores as an all-zero sentence; null labels and
 ids are not learned from; without both classes every score is the positives' share (0 without rows);
-words of any length are cut into overlapping pieces of 2 * PIECE letters; repeated rows and extra
-columns change nothing.
+of the rows of a repeated id the one of the smallest text is learned from; repeated rows and extra columns change nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -35,18 +37,19 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, text_of, text_udf
 
 ORDER = 3
-DECAY = 0.7
-#: Power of the normalised kernel (a kernel again): near 1 stays, chance resemblance fades.
+DECAY = 0.9
 POWER = 3
-#: Longest piece of a word compared at once, in characters.
-PIECE = 14
+#: Places up to which a word's letter triples are listed.
+LONGEST = 24
 LANDMARKS = 96
 #: A word may be a toxic landmark if in this share of the toxic training texts, and so many times likelier there.
 MIN_SHARE, MIN_ODDS = 0.005, 6
 MAX_TRAIN = 1200
-ALPHABET = 32
-#: Words whose kernel row a worker remembers.
-REMEMBER = 300_000
+#: Ridge of the SVM; kernel value from which a clean word is confusable with a toxic landmark; weight of witnesses with inserted letters.
+REG, CONFUSED, INSERTED = 1e-3, 0.2, 0.3
+ALPHABET = 64
+#: Words whose number a worker remembers.
+REMEMBER = 500_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SINGLES = re.compile(r"\s\S[\x20\t]\S[\x20\t]\S(?!\S)")
@@ -54,32 +57,21 @@ _GAP = re.compile(b"\0+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[\x20\t]){2,}\S(?!\S)")
 
 
-def _symbols() -> bytes:
-    return bytes(c & 31 if 65 <= c <= 90 or 97 <= c <= 122 else 0 for c in range(256))
+def _code(c: str) -> int:
+    """1-26 for a-z, 27-63 by code point for other letters, 0 for what isn't a letter."""
+    return 0 if not c.isalpha() else ord(c) & 31 if c.isascii() else 27 + ord(c.lower()[0]) % 37
 
 
-_ASCII = _symbols()
-#: The same for Latin-1, whose letters beyond ASCII are classed by code point.
-_LATIN = bytes(_ASCII[c] if c < 128 else 27 + ord(chr(c).lower()[0]) % 5 if chr(c).isalpha() else 0 for c in range(256))
+_LATIN = bytes(_code(chr(c)) for c in range(256))
 
 
 def codes(word: str) -> bytes:
-    """Letters as 1-31 (a-z: 1-26, others by code point), everything else 0; trimmed of zeros at both ends."""
-    if word.isascii():
-        return word.encode().translate(_ASCII).strip(b"\0")
-    if max(word) <= "\xff":
-        return word.encode("latin-1").translate(_LATIN).strip(b"\0")
-    return bytes((ord(c) & 31 if c.isascii() else 27 + ord(c.lower()[0]) % 5) if c.isalpha() else 0 for c in word).strip(b"\0")
-
-
-def pieces(word: str) -> list[bytes]:
-    """The letter codes of a word, each gap one place wide, cut into overlapping pieces if it is long."""
-    c = codes(word)
-    if b"\0\0" in c:
-        c = _GAP.sub(b"\0", c)
-    if len(c) <= 2 * PIECE:
-        return [c] if len(c) >= ORDER else []
-    return [c[k : k + 2 * PIECE].strip(b"\0") for k in range(0, len(c) - PIECE, PIECE)]
+    """The codes of a word's characters, each gap one place wide, none at the ends."""
+    c = word.encode("latin-1").translate(_LATIN) if word.isascii() or max(word) <= "\xff" else bytes(map(_code, word))
+    c = c.strip(b"\0")
+    if len(c) >= 9 and c[1] == c[3] and c[1] not in c[::2] and c[1::2] == c[1:2] * (len(c) // 2):
+        c = c.replace(c[1:2], b"\0")  # filler: one letter at every second place
+    return _GAP.sub(b"\0", c) if b"\0" in c else c
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -92,7 +84,7 @@ _PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All position triples within a word of n characters and their weights."""
+    """All position triples within a word of n places and their weights."""
     if n not in _PLACES:
         at = np.array(list(combinations(range(n), ORDER)), dtype=np.int64).reshape(-1, ORDER)
         _PLACES[n] = at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
@@ -107,27 +99,39 @@ def _triples(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_length(words: list[bytes]):
+    """(places in the list, code matrix) of the words of each length from ORDER to LONGEST."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[(lengths >= ORDER) & (lengths <= LONGEST)]):
         at = np.flatnonzero(lengths == n)
         for part in np.array_split(at, max(1, len(at) * len(_places(int(n))[1]) // 400_000)):
             yield part, np.frombuffer(b"".join(words[k] for k in part), dtype=np.uint8).reshape(len(part), int(n))
 
 
-def self_kernels(group: np.ndarray) -> np.ndarray:
-    """Root of the kernel of each word with itself."""
-    code, weight = _triples(group)
+def _norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Root of the kernel of each word with itself, from its triples."""
     order = np.argsort(code, axis=1)
     code, w = np.take_along_axis(code, order, 1), weight[order]
     w = np.where(code > 0, w, 0)
     total = np.zeros(len(code))
-    flat, wf = code + np.arange(len(code))[:, None] * ALPHABET**3, w
-    flat, wf = flat.ravel(), wf.ravel()
+    flat, wf = (code + np.arange(len(code), dtype=np.int64)[:, None] * ALPHABET**3).ravel(), w.ravel()
     first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     np.add.at(total, flat[first] // ALPHABET**3, np.add.reduceat(wf, first).astype(np.float64) ** 2)
     return np.sqrt(total)
 
 
+def triple_sums(word: bytes) -> np.ndarray:
+    """Summed weights of a word's letter triples, by code, in time linear in its length."""
+    one, two, three = np.zeros(ALPHABET), np.zeros((ALPHABET, ALPHABET)), np.zeros((ALPHABET, ALPHABET, ALPHABET))
+    for x in word:  # what is there ages by a place, then the letter ends, continues and starts subsequences
+        one *= DECAY
+        two *= DECAY
+        if x:
+            three[:, :, x] += two
+            two[:, x] += one
+            one[x] += DECAY
+    return three.ravel()
+
+
 class Kernel:
     """Normalised kernel values of words with fixed landmarks."""
 
@@ -143,52 +147,36 @@ class Kernel:
             norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
             sums.append({c: v / norm for c, v in own.items()})
         used = sorted({c for s in sums for c in s})
-        self.row = np.zeros(ALPHABET**3, dtype=np.int16 if len(used) < 32_000 else np.int32)
+        self.row = np.zeros(ALPHABET**3, dtype=np.int32)
         self.row[used] = np.arange(1, len(used) + 1)
         self.values = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
         for k, s in enumerate(sums):
             for c, v in s.items():
                 self.values[self.row[c], k] = v
-        self.best = np.zeros(ALPHABET**3, dtype=np.float32)
-        self.best[used] = self.values[1:].max(axis=1) if used else 0
-
-    def _possible(self, group: np.ndarray) -> np.ndarray:
-        """Words whose kernel with some landmark may reach LOUD: by the best value of each triple and the least norm.
-
-        Without gaps a word's norm is at least that of all-different triples; words with gaps pass unless nothing matches.
-        """
-        at, weight = _places(group.shape[1])
-        if not len(at):
-            return np.zeros(0, dtype=np.int64)
-        by_place = np.ascontiguousarray(group.T).astype(np.uint16)
-        code = (by_place[at[:, 0]] << 10) | (by_place[at[:, 1]] << 5) | by_place[at[:, 2]]
-        bound = weight @ self.best[code]
-        least = np.where((group == 0).any(axis=1), 1e-6, np.sqrt(float(weight @ weight)) * LOUD ** (1 / POWER) * 0.999)
-        return np.flatnonzero(bound >= least)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Kernel values; all 0 for a word that can't reach LOUD with any landmark."""
+        """A row of kernel values for each word; words of fewer than ORDER letters have none."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
+        width = len(self.values)
         for part, group in _by_length(words):
-            some = self._possible(group)
-            if not len(some):
-                continue
-            part, group = part[some], group[some]
             code, weight = _triples(group)
             row = self.row[code]
-            word, place = np.nonzero(row)
-            if not len(word):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            hit = word[first]
-            sums = np.add.reduceat(self.values[row[word, place]] * weight[place][:, None], first, axis=0)
-            norm = self_kernels(group[hit])
-            out[part[hit]] = sums / np.maximum(norm, 1e-9)[:, None]
-        return np.minimum(out, 1) ** POWER
+            hit = np.flatnonzero(row.any(axis=1))
+            for own in np.array_split(hit, max(1, len(hit) * width // 4_000_000)):
+                if len(own):  # summed weights of the triples some landmark has, then one product with the landmarks
+                    word, place = np.nonzero(row[own])
+                    sums = np.bincount(word * width + row[own[word], place], weight[place], len(own) * width).astype(np.float32).reshape(len(own), width)
+                    out[part[own]] = sums @ self.values / np.maximum(_norms(code[own], weight), 1e-9)[:, None]
+        for k, w in enumerate(words):
+            if len(w) > LONGEST:
+                own = triple_sums(w)
+                held = np.flatnonzero(own)
+                out[k] = own[held] @ self.values[self.row[held]] / max(math.sqrt(float(own[held] @ own[held])), 1e-9)
+        return np.clip(out, 0, 1) ** POWER
 
 
 class ToxicityModel:
-    """Landmarks, the SVM in the landmarks' kernel space (weights folded back through K_mm ** -1/2), calibration."""
+    """Landmarks, the SVM in their kernel space (weights folded back through K_mm ** -1/2), calibration."""
 
     def __init__(self, landmarks: list[bytes], weights: np.ndarray, bias: float, slope: float, shift: float, prior: float):
         self.landmarks, self.weights, self.bias, self.slope, self.shift, self.prior = landmarks, weights, bias, slope, shift, prior
@@ -196,30 +184,14 @@ class ToxicityModel:
     def scorer(self):
         kernel = Kernel(self.landmarks) if self.landmarks else None
         memory: dict[str, int] = {}
-        table = [np.zeros((1 << 12, len(self.landmarks)), dtype=np.float32)]
-        #: Kernel rows kept are only those with any large value; all other words share row 0.
-        used = [1]
+        table = [np.zeros((1 << 14, len(self.landmarks)), dtype=np.float32)]
 
         def learn(words: list[str]) -> None:
-            owner, cut = [], []
-            for k, w in enumerate(words):
-                for p in pieces(w):
-                    owner.append(k)
-                    cut.append(p)
-            rows = kernel(cut) if cut else np.zeros((0, len(self.landmarks)), np.float32)
-            loud = np.flatnonzero(rows.max(axis=1) >= LOUD) if len(rows) else []
-            best: dict[int, np.ndarray] = {}
-            for k in loud:
-                best[owner[k]] = np.maximum(best[owner[k]], rows[k]) if owner[k] in best else rows[k]
-            for k, w in enumerate(words):
-                if k not in best:
-                    memory[w] = 0
-                    continue
-                if used[0] == len(table[0]):
-                    table[0] = np.concatenate((table[0], np.zeros_like(table[0])))
-                table[0][used[0]] = best[k]
-                memory[w] = used[0]
-                used[0] += 1
+            """The kernel row of each new word."""
+            while len(memory) + len(words) > len(table[0]):
+                table[0] = np.concatenate((table[0], np.zeros_like(table[0])))
+            table[0][len(memory) : len(memory) + len(words)] = kernel([codes(w) for w in words])
+            memory.update(zip(words, range(len(memory), len(memory) + len(words))))
 
         def run(texts: list[str]) -> list[float]:
             if kernel is None:
@@ -227,118 +199,158 @@ class ToxicityModel:
             out = []
             for at in range(0, len(texts), 250):  # new words of many texts are compared at once
                 parsed = [sentences(t) for t in texts[at : at + 250]]
-                if len(memory) > REMEMBER:
+                new = {w for parts in parsed for p in parts for w in p}
+                if len(memory) + len(new) > REMEMBER:
                     memory.clear()
-                    used[0] = 1
-                if new := list({w for parts in parsed for p in parts for w in p}.difference(memory)):
+                if new := list(new.difference(memory)):
                     learn(new)
                 out += [one(parts) for parts in parsed]
             return out
 
         def one(parts: list[list[str]]) -> float:
             margin = self.bias
-            rows = np.fromiter((memory[w] for p in parts for w in p), dtype=np.int64)
-            if rows.any():
+            if parts:
+                rows = np.fromiter((memory[w] for p in parts for w in p), dtype=np.int64)
                 first = np.cumsum([0, *(len(p) for p in parts[:-1])])
-                at = np.flatnonzero(rows)
-                where = np.searchsorted(first, at, "right")
-                cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-                features = np.maximum.reduceat(table[0][rows[at]], cut, axis=0)
-                margin = max(float((features @ self.weights).max()) + self.bias, self.bias if len(cut) < len(parts) else -np.inf)
+                margin = max(float(top.max()) for top in self._margins(table[0], rows, first))
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.shift))))
 
         return run
 
+    def _margins(self, table: np.ndarray, rows: np.ndarray, first: np.ndarray):
+        """Margins of sentences, given their words' rows; long texts in parts."""
+        cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(rows), 20_000)), len(first)))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            low, high = first[a], first[b] if b < len(first) else len(rows)
+            yield np.maximum.reduceat(table[rows[low:high]], first[a:b] - low, axis=0) @ self.weights + self.bias
+
     def column(self, text: Column) -> Column:
         return text_udf(self.scorer, "double", pa.float64())(text)
 
 
-#: Kernel values below this count as 0 for every landmark of a word whose best value is below it.
-LOUD = 0.12
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reg: float = REG, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by Newton steps on the rows inside the margin; y is +-1, cost weighs the rows."""
+    x1 = np.hstack((x, np.ones((len(x), 1), dtype=x.dtype)))
+    cost = cost / cost.sum()
+    ridge = np.full(x1.shape[1], reg)
+    ridge[-1] = 1e-9
+    w = np.zeros(x1.shape[1])
 
+    def loss(v: np.ndarray, out: np.ndarray) -> float:
+        slack = np.maximum(0, 1 - y * out)
+        return float(cost @ (slack * slack)) + float(ridge @ (v * v))
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reg: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient; y is +-1, cost weighs the rows."""
-    x1 = np.hstack((x, np.ones((len(x), 1))))
-    cost = cost / cost.sum()
-    lip = 2 * np.linalg.norm((x1 * cost[:, None]).T @ x1, 2) + reg
-    w = z = np.zeros(x1.shape[1])
-    t = 1.0
+    out = x1 @ w
+    held = loss(w, out)
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ z))
-        g = -2 * x1.T @ (cost * slack * y)
-        g[:-1] += reg * z[:-1]
-        w1 = z - g / lip
-        t1 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = w1 + (t - 1) / t1 * (w1 - w), w1, t1
+        near = np.flatnonzero(y * out < 1)
+        part = x1[near].astype(np.float64)
+        weighed = part * cost[near][:, None]
+        aim = np.linalg.solve(part.T @ weighed + np.diag(ridge), weighed.T @ y[near])
+        size = 1.0
+        while True:
+            new = w + size * (aim - w)
+            new_out = x1 @ new
+            got = loss(new, new_out)
+            if got < held or size < 1e-4:
+                break
+            size /= 2
+        gain, w, out, held = held - got, new, new_out, min(got, held)
+        if gain < 1e-9:
+            break
     return w[:-1], float(w[-1])
 
 
+def inserted(word: str) -> str:
+    """A word of five letters or more with one more letter inside; place and letter follow from the word."""
+    if len(word) < 5:
+        return word
+    h = zlib.crc32(word.encode("utf-8", "replace"))
+    at = 1 + h % (len(word) - 1)
+    return word[:at] + "abcdefghijklmnopqrstuvwxyz"[h // 64 % 26] + word[at:]
+
+
+def _landmarks(bags: list[set[bytes]], label: np.ndarray, limit: int) -> tuple[list[bytes], np.ndarray]:
+    """Words that set the classes apart, clean words a toxic landmark could be confused with, common words; and each one's evidence."""
+    df = [Counter(), Counter()]
+    for y, bag in zip(label.tolist(), bags):
+        df[y].update(w for w in bag if ORDER <= len(w) <= LONGEST)
+    a, b = int(label.sum()), int(len(label) - label.sum())
+    least = max(3, a * MIN_SHARE)
+    odds = {w: (n + 0.5) / a / ((df[0][w] + 0.5) / b) for w, n in df[1].items() if n >= least and len(w) >= 4}
+    weight = {w: df[1][w] * math.log(r) for w, r in odds.items() if r >= MIN_ODDS}
+    ranked = sorted(weight, key=lambda w: (-weight[w], w))
+    chosen: list[bytes] = []
+    for k in range(0, len(ranked), 512):  # one landmark for a family of like words
+        if len(chosen) == limit * 3 // 4:
+            break
+        block = ranked[k : k + 512]
+        near = Kernel(chosen)(block).max(axis=1, initial=0) if chosen else np.zeros(len(block))
+        alike = Kernel(block)(block)
+        for i, w in enumerate(block):
+            if len(chosen) < limit * 3 // 4 and near[i] < 0.7:
+                chosen.append(w)
+                near = np.maximum(near, alike[:, i])
+    common = sorted((w for w in df[0] if w not in weight), key=lambda w: (-df[0][w], w))
+    alike = np.zeros(len(common))
+    if chosen:
+        kernel = Kernel(chosen)
+        for k in range(0, len(common), 20_000):
+            alike[k : k + 20_000] = kernel(common[k : k + 20_000]).max(axis=1, initial=0)
+    confused = sorted(np.flatnonzero(alike >= CONFUSED).tolist(), key=lambda k: (-df[0][common[k]] * float(alike[k]), common[k]))[: limit // 6]
+    taken = set(confused)
+    chosen += [common[k] for k in confused] + [w for k, w in enumerate(common) if k not in taken][: limit // 12]
+    return chosen, np.array([max(0.0, weight.get(w, 0.0)) for w in chosen])
+
+
 def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> ToxicityModel:
-    """Choose landmarks from the words that set the classes apart, then the multiple-instance SVM."""
+    """Choose landmarks, then the multiple-instance SVM and its calibration."""
     if not toxic or not clean:
         return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, 1.0 if toxic else 0.0)
     toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys([*clean, ""]))  # copies would count as evidence; no text is clean
-    bags = [[[p for w in s for p in pieces(w)] for s in sentences(t)] for t in (*toxic, *clean)]
+    plain = [sentences(t) for t in (*toxic, *clean)]
     label = np.array([1] * len(toxic) + [0] * len(clean))
-    df = [Counter(), Counter()]
-    for y, bag in zip(label, bags):
-        df[y].update({p for s in bag for p in s})
+    chosen, evidence = _landmarks([{codes(w) for s in bag for w in s} for bag in plain], label, landmarks)
     a, b = len(toxic), len(clean)
-    least = max(3, a * MIN_SHARE)
-    odds = {w: (n + 0.5) / a / ((df[0][w] + 0.5) / b) for w, n in df[1].items() if n >= least and len(w) >= 4}
-    weight = {w: df[1][w] * math.log(r) for w, r in odds.items() if r >= MIN_ODDS}
-    ranked = sorted(weight, key=lambda w: (-weight[w], w))[:1500]
-    chosen: list[bytes] = []
-    if ranked:
-        similar = Kernel(ranked)(ranked)
-        near = np.zeros(len(ranked))
-        for k in range(len(ranked)):
-            if len(chosen) < landmarks * 3 // 4 and near[k] < 0.7:
-                chosen.append(ranked[k])
-                near = np.maximum(near, similar[:, k])
-    # The clean side: the commonest words, and above all those a toxic landmark could be confused with.
-    common = sorted((w for w in df[0] if len(w) >= ORDER and w not in weight), key=lambda w: (-df[0][w], w))[:20_000]
-    alike = Kernel(chosen)(common).max(axis=1, initial=0) if chosen and common else np.zeros(len(common))
-    confused = sorted(np.flatnonzero(alike >= 0.2).tolist(), key=lambda k: (-df[0][common[k]] * float(alike[k]), common[k]))[: landmarks // 6]
-    chosen += [common[k] for k in confused] + [w for k, w in enumerate(common[: landmarks // 12]) if k not in confused]
     if not chosen:
-        return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, len(toxic) / (len(toxic) + len(clean)))
+        return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, a / (a + b))
     kernel = Kernel(chosen)
     value, vector = np.linalg.eigh(kernel(chosen).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
     root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
 
-    distinct = sorted({p for bag in bags for s in bag for p in s})
-    loud: dict[bytes, np.ndarray] = {}
-    for k in range(0, len(distinct), 20_000):  # only the rows of words near any landmark are held
-        part = distinct[k : k + 20_000]
-        rows = kernel(part)
-        loud.update((part[i], rows[i]) for i in np.flatnonzero(rows.max(axis=1) >= LOUD))
-    owner, features, quiet = [], [], np.zeros(len(chosen), dtype=np.float32)
+    bags = plain + [[[inserted(w) for w in s] for s in bag] for bag in plain[:a]]
+    both = np.array([1] * a + [0] * b + [1] * (len(bags) - a - b))
+    place: dict[bytes, int] = {b"": 0}
+    owner, at = [], []
     for k, bag in enumerate(bags):
-        for s in bag or [[]]:
-            rows = [loud[p] for p in s if p in loud]
+        for s in bag or [[""]]:
             owner.append(k)
-            features.append(np.max(rows, axis=0) if rows else quiet)
-    owner, raw = np.array(owner), np.array(features, dtype=np.float32)
+            at.append([place.setdefault(codes(w), len(place)) for w in s])
+    distinct = list(place)
+    table = np.concatenate([kernel(distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)])
+    owner = np.array(owner)
+    raw = np.zeros((len(owner), len(chosen)), dtype=np.float32)
+    for k in range(0, len(at), 5000):
+        part = at[k : k + 5000]
+        first = np.cumsum([0, *map(len, part[:-1])])
+        raw[k : k + 5000] = np.maximum.reduceat(table[np.concatenate(part).astype(np.int64)], first, axis=0)
     x = raw @ root.astype(np.float32)
-    y = np.where(label[owner] == 1, 1.0, -1.0)
+    y = np.where(both[owner] == 1, 1.0, -1.0)
     negative = np.flatnonzero(y < 0)
-    silent = negative[raw[negative].max(axis=1) == 0]
-    negative = np.concatenate((negative[raw[negative].max(axis=1) > 0], silent[:1]))
-    cost_of = np.where(np.arange(len(y)) == (silent[0] if len(silent) else -1), max(1, len(silent)), 1.0)
-    margin = raw @ np.array([max(0.0, weight.get(w, 0.0)) for w in chosen])
+    margin = raw @ evidence
     for _ in range(4):  # witnesses of the toxic documents, then the machine, in turn
         best: dict[int, int] = {}
         for k in np.flatnonzero(y > 0):
             if owner[k] not in best or margin[k] > margin[best[owner[k]]]:
                 best[owner[k]] = k
         rows = np.concatenate((np.array(sorted(best.values()), dtype=np.int64), negative))
-        cost = np.where(y[rows] > 0, 0.5 / len(best), 0.5 * cost_of[rows] / cost_of[negative].sum())
+        weight = np.where(owner[rows] < a, 1.0, INSERTED)
+        cost = np.where(y[rows] > 0, 0.5 * weight / weight[: len(best)].sum(), 0.5 / len(negative))
         w, bias = _svm(x[rows], y[rows], cost)
         margin = x @ w + bias
-    worst = np.full(len(label), -np.inf)
+    worst = np.full(len(both), -np.inf)
     np.maximum.at(worst, owner, margin)
+    worst = worst[: a + b]
     slope, shift = 2.0, 0.0
     for _ in range(300):  # logistic calibration of the documents' margins, classes balanced
         p = 1 / (1 + np.exp(-np.clip(slope * worst + shift, -60, 60)))
@@ -354,8 +366,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
     texts: list[list[str]] = []
     for y in (1, 0):
         ids = bounded_sample(named.where(F.col("y") == y).select("doc_id").distinct(), F.col("doc_id"), max_train)
-        rows = docs.select("doc_id", text_of(docs).alias("text")).join(ids, "doc_id", "left_semi")
-        texts.append([r.text for r in sorted(rows.dropDuplicates(["doc_id"]).toLocalIterator(), key=lambda r: r.doc_id)])
+        rows = docs.select("doc_id", text_of(docs).alias("text")).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts.append([r.text for r in sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)])
     return train(*texts)
 
 

@@ -68,7 +68,8 @@ def test_toxicity_tolerates_gaps():
     fine = max(run(["a fine day with words", "the riot of words goes on", "", "   "]))
     assert fine < 0.5 and min(hit) > fine and min(hit[0], hit[2], hit[4]) > 0.5
     k = toxicity.Kernel([toxicity.codes("idiot")])
-    assert k([toxicity.codes("idiot")])[0, 0] == pytest.approx(1, abs=1e-5) and k([toxicity.codes("i-d-i-o-t")])[0, 0] > 0.5 > k([toxicity.codes("idxiot")])[0, 0] > k([toxicity.codes("riot")])[0, 0]
+    value = lambda w: k([toxicity.codes(w)])[0, 0]
+    assert value("idiot") == pytest.approx(1, abs=1e-5) and value("i-d-i-o-t") > 0.9 > value("idxiot") > 0.3 > value("riot")
 
 
 def brute_kernel(a, b):
@@ -76,24 +77,42 @@ def brute_kernel(a, b):
         own = Counter()
         for i, j, k in combinations(range(len(word)), 3):
             if word[i] and word[j] and word[k]:
-                own[word[i], word[j], word[k]] += 0.7 ** (k - i + 1)
+                own[word[i], word[j], word[k]] += toxicity.DECAY ** (k - i + 1)
         return own
 
     x, y = weights(a), weights(b)
-    return (sum(x[t] * y[t] for t in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5) ** 3
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return (sum(x[t] * y[t] for t in x) / norm if norm else 0) ** toxicity.POWER
 
 
 def test_toxicity_has_no_widest_gap():
     base = ["the idiot is here today", "what an idiot you are", "an idiot and a fool", "go away idiot now"] * 3
     model = toxicity.train([f"{t} {k}" for k, t in enumerate(base)], [f"the day is fine and number {k} goes on with idle riot of words" for k in range(40)])
-    hit = model.scorer()(["you i----d----i----o----t there", "i.d--i***o....t", ("*" * 40).join("idiot"), "an i - d - i - o - t"])
-    assert min(hit) >= 0.5 and toxicity.pieces("i----d----i--o-t") == toxicity.pieces("i.d.i.o.t")
-    word = "hypotheticalidiotxx"
-    for other in ("idxiot", "hypothetixxxxxxxxxcal", "hxxxxxxxxxxxxxyxxxxxp", "hyp-othe-tica"):
-        a, b = toxicity.codes(other), toxicity.codes(word)
-        want = brute_kernel(a, b)
-        got = toxicity.Kernel([b])([a])[0, 0]
-        assert got == pytest.approx(want, abs=1e-5) or (got == 0 and want < toxicity.LOUD)
+    hit = model.scorer()(["you i----d----i----o----t there", "i.d--i***o....t", ("*" * 40).join("idiot"), "an i - d - i - o - t", "an ixdxixoxt too"])
+    assert min(hit) >= 0.5 and toxicity.codes("i----d----i--o-t") == toxicity.codes("i.d.i.o.t") == toxicity.codes("ixdxixoxt")
+
+
+def test_toxicity_kernel_matches_brute_force():
+    """Random words with gaps and inserted letters, of every length about the bounds, against the definition."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("idioty.-x\u00e9\u0416 ".strip()) for _ in range(n)) for n in [*range(0, 34), 40, 60] for _ in range(3)]
+    marks = [toxicity.codes(w) for w in ("idiot", "hypotheticalidiotxx", "xxxx", "ty-id-io")]
+    got = toxicity.Kernel(marks)([toxicity.codes(w) for w in words])
+    for w, row in zip(words, got):
+        for m, v in zip(marks, row):
+            assert v == pytest.approx(brute_kernel(toxicity.codes(w), m), abs=1e-4)
+    a = toxicity.codes("abcdefghijklmnopqrstuvwxyz" * 3)
+    sums = Counter()
+    for i, j, k in combinations(range(len(a)), 3):
+        sums[(a[i] * toxicity.ALPHABET + a[j]) * toxicity.ALPHABET + a[k]] += toxicity.DECAY ** (k - i + 1)
+    own = toxicity.triple_sums(a)
+    assert all(abs(own[c] - v) < 1e-9 for c, v in sums.items()) and abs(own.sum() - sum(sums.values())) < 1e-6
+
+
+def test_toxicity_of_odd_words():
+    model = toxicity.train(["the idiot is here %d" % k for k in range(30)], ["the day is fine %d" % k for k in range(30)])
+    texts = ["a" * 13 + "." * 29 + "bb" + "." * 60 + "c", "." * 5000, "ab" * 30_000, "\u4f60\u597d \U0001f600 \u0416\u0416\u0416", None or "", "\x00 a b c"]
+    assert all(0 <= s <= 1 for s in model.scorer()(texts))
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
