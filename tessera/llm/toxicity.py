@@ -27,6 +27,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -270,7 +271,7 @@ def inserted(word: str) -> str:
     return word[:at] + "abcdefghijklmnopqrstuvwxyz"[h // 64 % 26] + word[at:]
 
 
-def _landmarks(bags: list[set[bytes]], label: np.ndarray, limit: int) -> tuple[list[bytes], np.ndarray]:
+def _landmarks(bags: Iterable[set[bytes]], label: np.ndarray, limit: int) -> tuple[list[bytes], np.ndarray]:
     """Words that set the classes apart, clean words a toxic landmark could be confused with, common words; and each one's evidence."""
     df = [Counter(), Counter()]
     for y, bag in zip(label.tolist(), bags):
@@ -310,7 +311,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Tox
     toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys([*clean, ""]))  # copies would count as evidence; no text is clean
     plain = [sentences(t) for t in (*toxic, *clean)]
     label = np.array([1] * len(toxic) + [0] * len(clean))
-    chosen, evidence = _landmarks([{codes(w) for s in bag for w in s} for bag in plain], label, landmarks)
+    chosen, evidence = _landmarks(({codes(w) for s in bag for w in s} for bag in plain), label, landmarks)
     a, b = len(toxic), len(clean)
     if not chosen:
         return ToxicityModel([], np.zeros(0), 0.0, 1.0, 0.0, a / (a + b))
@@ -318,14 +319,15 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Tox
     value, vector = np.linalg.eigh(kernel(chosen).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
     root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
 
-    bags = plain + [[[inserted(w) for w in s] for s in bag] for bag in plain[:a]]
-    both = np.array([1] * a + [0] * b + [1] * (len(bags) - a - b))
+    both = np.array([1] * a + [0] * b + [1] * a)
     place: dict[bytes, int] = {b"": 0}
     owner, at = [], []
-    for k, bag in enumerate(bags):
+    for k in range(len(both)):
+        bag = plain[k] if k < a + b else [[inserted(w) for w in s] for s in plain[k - a - b]]
         for s in bag or [[""]]:
             owner.append(k)
-            at.append([place.setdefault(codes(w), len(place)) for w in s])
+            at.append(np.array([place.setdefault(codes(w), len(place)) for w in s], dtype=np.int32))
+    del plain
     distinct = list(place)
     table = np.concatenate([kernel(distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)])
     owner = np.array(owner)
@@ -333,7 +335,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Tox
     for k in range(0, len(at), 5000):
         part = at[k : k + 5000]
         first = np.cumsum([0, *map(len, part[:-1])])
-        raw[k : k + 5000] = np.maximum.reduceat(table[np.concatenate(part).astype(np.int64)], first, axis=0)
+        raw[k : k + 5000] = np.maximum.reduceat(table[np.concatenate(part)], first, axis=0)
     x = raw @ root.astype(np.float32)
     y = np.where(both[owner] == 1, 1.0, -1.0)
     negative = np.flatnonzero(y < 0)
