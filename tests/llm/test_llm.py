@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -364,6 +365,58 @@ def test_templates_come_from_all_pages_of_a_host(spark):
     assert all(r.text == f"By {'Ann' if r.page_id < 2 else r.page_id}\n\ntext {r.page_id}" for r in out)
 
 
+def brute_matching(a, b):
+    """Simple tree matching by its definition."""
+    (ka, xs), (kb, ys) = a, b
+    if ka != kb:
+        return 0
+    m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+def test_tree_matching_against_its_definition():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+
+    def markup(t):
+        return f"<div class={t[0]}>{''.join(map(markup, t[1]))}</div>"
+
+    for _ in range(60):
+        a, b = ("r", [tree(3) for _ in range(3)]), ("r", [tree(3) for _ in range(3)])
+        x, y = (html_text.Tree(html_text.index(html_text.parse(markup(t)))) for t in (a, b))
+        got = html_text.match(x, y)
+        assert sum(k >= 0 for k in got) == brute_matching(a, b) + 1  # and the root of the document
+        used = [k for k in got if k >= 0]
+        assert len(set(used)) == len(used) and all(x.nodes[i].sig == y.nodes[k].sig for i, k in enumerate(got) if k >= 0)
+
+
+def test_region_is_found_without_tags_or_names():
+    """Menus, adverts and footers that change from page to page, in elements without class, and no article element."""
+    words = lambda n, k: " ".join(f"w{(k * 7919 + i * 104729) % 99991}" for i in range(n))
+    page = lambda k: (
+        f"<body><div><a href=x>{words(1, k)}</a> <a href=y>{words(1, k + 1)}</a></div><div>{words(5, 3 * k)}</div>"
+        f"<div><h1>Title {k}</h1>{''.join(f'<p>{words(30, k * 10 + j)}</p>' for j in range(3 + k % 3))}</div><div>all rights {words(4, k + 50)}</div></body>"
+    )
+    pages = [page(k) for k in range(12)]
+    for k in (0, 5, 11):
+        want = "\n\n".join([f"Title {k}", *(words(30, k * 10 + j) for j in range(3 + k % 3))])
+        assert html_text.extract(pages[k], pages) == want != html_text.extract(pages[k])
+
+
+def test_deep_and_wide_pages():
+    deep = lambda k: "<div>" * 20_000 + f"text {k}" + "</div>" * 20_000
+    assert html_text.extract(deep(1), [deep(2), deep(3)]) == "text 1"
+    wide = lambda k: "".join(f"<div><p>{i * k} a</p>{'<hr>' if (i * k) % 7 == 0 else ''}</div>" for i in range(5000))
+    began = time.time()
+    assert html_text.extract(wide(3), [wide(5)]).count("\n\n") == 3999  # the texts on both pages are template
+    assert time.time() - began < 20
+
+
 def test_pages_table(spark, sf_dir):
     pages = spark.createDataFrame([(1, "http://a/x", PAGE, 1), (1, "http://a/x", PAGE, 1), (2, None, None, 2), (3, "bad", "", 3), (None, "http://a/y", "<p>z", 4)], "page_id bigint, url string, html string, host int")
     out = html_text.main_text(pages).collect()
