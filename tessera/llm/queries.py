@@ -20,7 +20,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +97,19 @@ ORACLE_SQL: dict[str, str] = {
         ), hit_items AS (
             SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY k
         )
+        , row_item AS (SELECT row_number() OVER () AS j, w FROM b WHERE len(w) > 0
+        ), item_place AS (
+            SELECT j, least(8, len(w)) AS n, q, array_to_string(w[q : q + least(8, len(w)) - 1], ' ') AS s FROM (SELECT j, w, unnest(range(1, greatest(len(w) - 6, 2))) AS q FROM row_item)
+        ), diagonal AS (
+            SELECT k, j, place.n AS n, p, p - q AS g, p - row_number() OVER (PARTITION BY k, j, p - q ORDER BY p) AS island FROM place JOIN item_place i ON i.s = place.s AND i.n = place.n
+        ), stretch AS (
+            SELECT k, min(p) AS p, (count(*) + any_value(n) - 1)::INTEGER AS m FROM diagonal GROUP BY k, j, g, island
+        ), longest AS (
+            SELECT k, max(m) AS m, min(p) FILTER (m = top)::INTEGER AS p FROM (SELECT *, max(m) OVER (PARTITION BY k) AS top FROM stretch) GROUP BY k
+        )
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-        FROM d LEFT JOIN hit_words USING (k) LEFT JOIN hit_items USING (k)
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(longest.m, 0) AS longest_match, longest.p - 1 AS longest_at
+        FROM d LEFT JOIN hit_words USING (k) LEFT JOIN hit_items USING (k) LEFT JOIN longest USING (k)
     """,
     "op5_jaccard_join": r"""
         WITH RECURSIVE d AS (

@@ -243,11 +243,45 @@ def test_decontamination_matches_brute_force(spark, sf_dir, limit):
         assert all(got[k] == brute_hits(t, items) for k, t in enumerate(texts))
 
 
+def test_longest_matches_against_brute_force():
+    rng = random.Random(8)
+    for trial in range(40):
+        word = lambda n: " ".join(rng.choice("a b c d".split()[: 2 + trial % 3]) for _ in range(n))
+        items = [(k, word(rng.randint(0, 30))) for k in range(6)] + [(7, "q"), (8, "")]
+        texts = [word(rng.randint(0, 60)) for _ in range(5)] + ["x q y " + items[0][1], items[1][1] + " " + items[2][1], ""]
+        window = rng.choice([1, 3, 8])
+        index = decontaminate.TestIndex(items, window)
+        for text, got in zip(texts, index.shard(texts)):
+            own, best = decontaminate.words(text), (0, 0)
+            for _, item in items:
+                x = decontaminate.words(item)
+                for a in range(len(own)):
+                    for b in range(len(x)):
+                        n = 0
+                        while a + n < len(own) and b + n < len(x) and own[a + n] == x[b + n]:
+                            n += 1
+                        if n >= min(window, len(x)):
+                            best = max(best, (n, -a))
+            n, h, k, _ = brute_hits(text, items, window)
+            assert (got["n_words"], len(got["hits"]), len(got["items"])) == (n, h, k)
+            assert (got["longest"], got["longest_at"]) == ((best[0], -best[1]) if best[0] else (0, None))
+
+
+def test_repetitive_text_lists_no_pairs():
+    index = decontaminate.TestIndex([(1, "a " * 400), (2, "a " * 300 + "b")])
+    began = time.time()
+    got = index.shard(["a " * 4000] * 50 + ["a " * 20 + "b"])
+    assert time.time() - began < 10
+    assert got[0]["longest"] == 400 and len(got[0]["hits"]) == 4000 and got[0]["items"] == [1, 2] and got[-1]["longest"] == 21
+
+
 def test_longest_matches_and_odd(spark, odd, none):
     index = decontaminate.TestIndex([(5, "a b c d e f g h i j")])
     assert index.locations("x a b c d e f g h i y a b c") == [(1, 5, 9)]
     bench = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
     assert sorted(r.n_hit for r in decontaminate.report(odd, bench).collect()) == [0] * 6 + [2, 2]
+    clash = odd.withColumns({"hits_": F.lit(1), "row_": F.lit(2), "each_": F.lit(3)})
+    assert decontaminate.remove_contaminated(clash, bench).columns == clash.columns and decontaminate.with_hits(clash, bench, "found", limit=1).where("size(found.hits) > 0").count() == 2
     assert decontaminate.remove_contaminated(odd, bench).columns == odd.columns and decontaminate.remove_contaminated(odd, bench).count() == 6
     assert decontaminate.report(odd, bench.where("false")).count() == 8 and decontaminate.report(none, bench).count() == 0
 
