@@ -154,10 +154,33 @@ class TestIndex:
             g = np.full(len(self.text), -1, dtype=np.int64)
             g[here] = _find(keys[k], r[here] * (1 << 31) + r[here + step] + 1)
             grams.append(g)
-        cls = np.full(len(at), -1, dtype=np.int64)
-        length = np.zeros(len(at), dtype=np.int64)
-        spots, kinds, spans, tests = [], [], [], []
-        for n, starts in self.starts.items():
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+
+        def common(p: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Words that suffixes of the shard and of the tests have in common."""
+            m = np.zeros(len(p), dtype=np.int64)
+            for k in range(len(ranks) - 1, -1, -1):
+                for _ in range(2 if k == len(ranks) - 1 else 1):
+                    may = np.flatnonzero((left[p] >= m + (1 << k)) & (self.left[j] >= m + (1 << k)))
+                    g = grams[k][j[may] + m[may]]
+                    m[may[(g >= 0) & (g == ranks[k][p[may] + m[may]])]] += 1 << k
+            return m
+
+        def places(test: np.ndarray) -> np.ndarray:
+            """Place of each test suffix in the suffix array, by binary search."""
+            low, high = np.zeros(len(test), dtype=np.int64), np.full(len(test), len(order), dtype=np.int64)
+            while (low < high).any():
+                live = np.flatnonzero(low < high)
+                mid = (low[live] + high[live]) // 2
+                p, j = order[mid], test[live]
+                m = common(p, j)
+                after = (m < self.left[j]) & ((m >= left[p]) | (own[np.minimum(p + m, len(own) - 1)] < self.text[j + m]))
+                low[live], high[live] = np.where(after, mid + 1, low[live]), np.where(after, high[live], mid)
+            return low
+
+        parts = []
+        for n, starts in self.starts.items():  # items whose windows are n words
             a = n.bit_length() - 1
             shift = n - (1 << a)
             starts = starts[(grams[a][starts] >= 0) & (grams[a][starts + shift] >= 0)]
@@ -168,47 +191,23 @@ class TestIndex:
             wanted = grams[a][starts] * (1 << 31) + grams[a][starts + shift]
             low, high = np.searchsorted(along, wanted, "left"), np.searchsorted(along, wanted, "right")
             found = np.flatnonzero(high > low)
-            tests.append(starts[found])
+            if not len(found):
+                continue
             one = found[np.unique(low[found], return_index=True)[1]]  # an interval once
             many = high[one] - low[one]
-            spots.append(sub[np.repeat(low[one] - np.cumsum(many) + many, many) + np.arange(many.sum())])
-            kinds.append(np.repeat(self.class_of[starts[one]], many))
-            spans.append(np.full(int(many.sum()), n, dtype=np.int64))
-        if not spots:
-            return none, none, none, none, none
-        spot, cls, length, test = map(np.concatenate, (spots, kinds, spans, tests))
-
-        def common(p: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Words that suffixes of the shard and of the tests have in common."""
-            m = np.zeros(len(p), dtype=np.int64)
-            for k in range(len(ranks) - 1, -1, -1):
-                for _ in range(2 if k == len(ranks) - 1 else 1):
-                    may = np.flatnonzero((left[p] >= m + (1 << k)) & (self.left[j] >= m + (1 << k)))
-                    g = grams[k][j[may] + m[may]]
-                    m[may[(g >= 0) & (g == ranks[k][p[may] + m[may]])]] += 1 << k
-            return m
-
-        low, high = np.zeros(len(test), dtype=np.int64), np.full(len(test), len(order), dtype=np.int64)
-        while (low < high).any():  # place of each test suffix in the suffix array
-            live = np.flatnonzero(low < high)
-            mid = (low[live] + high[live]) // 2
-            p, j = order[mid], test[live]
-            m = common(p, j)
-            ended = m >= left[p]
-            after = (m < self.left[j]) & (ended | (own[np.minimum(p + m, len(own) - 1)] < self.text[j + m]))
-            low[live], high[live] = np.where(after, mid + 1, low[live]), np.where(after, high[live], mid)
-        by = np.lexsort((self.order[test], low))
-        test, place = test[by], low[by]
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        beside = np.searchsorted(place, rank[spot], "right")
-        longest, best = np.zeros(len(spot), dtype=np.int64), np.zeros(len(spot), dtype=np.int64)
-        for k in (beside - 1, beside):
-            j = test[np.clip(k, 0, len(test) - 1)]
-            m = common(spot, j)
-            better = m > longest
-            longest, best = np.where(better, m, longest), np.where(better, j, best)
-        return at[spot], cls, length, longest, best
+            spot = sub[np.repeat(low[one] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            test = starts[found]
+            place = places(test)
+            by = np.lexsort((self.order[test], place))
+            test, place = test[by], place[by]
+            beside = np.searchsorted(place, rank[spot], "right")
+            longest, best = np.zeros(len(spot), dtype=np.int64), np.zeros(len(spot), dtype=np.int64)
+            for k in (beside - 1, beside):  # the test suffixes next to the hit have the longest match
+                j = test[np.clip(k, 0, len(test) - 1)]
+                m = common(spot, j)
+                longest, best = np.where(m > longest, m, longest), np.where(m > longest, j, best)
+            parts.append((at[spot], np.repeat(self.class_of[starts[one]], many), np.full(len(spot), n, dtype=np.int64), longest, best))
+        return tuple(map(np.concatenate, zip(*parts))) if parts else (none,) * 5
 
     def shard(self, texts: list[str | None]) -> list[dict]:
         """The hit words and items of each document of a shard, and its longest match."""
