@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import free_name, materialize, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -228,16 +228,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """`docs` with one document of each cluster: the one with the smallest doc_id (of rows repeating it, one).
+    """`docs` with one document of each cluster: the one with the smallest doc_id (of rows repeating it, the one of the smallest text).
 
-    Rows with a null doc_id can't be told apart by id; they stay. Only ids that go are joined with the
-    texts, and a repeated id keeps the row with the smallest text hash.
+    Rows with a null doc_id can't be told apart by id; they stay. Where one id has different texts, only those rows go
+    whose own text is in the cluster of a smaller id or, within one cluster, of a smaller text. Only rows that may go are shuffled.
     """
-    found = join(docs, threshold, recall)
-    go = materialize(found.where(F.col("doc_id").isNotNull() & (F.col("class_id") != F.col("doc_id"))).select("doc_id").distinct())
-    kept = docs.join(go, "doc_id", "left_anti")
-    repeated = materialize(kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n_")).where("n_ > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    row = free_name(docs, "row_")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    own = join(numbered.select(F.col(row).alias("doc_id"), "text"), threshold, recall).select(F.col("doc_id").alias(row), F.col("class_id").alias("class_"))
+    met = own.join(own.groupBy("class_").agg(F.count("*").alias("n_")).where("n_ > 1").select("class_"), "class_")
+    named = numbered.select(row, F.col("doc_id").alias("id_"), F.xxhash64(text_of(numbered)).alias("hash_")).where("id_ IS NOT NULL").join(met, row)
+    least = named.groupBy("class_").agg(F.min(F.struct("id_", "hash_", row)).alias("first_"))
+    go = materialize(named.join(least, "class_").where(F.col(row) != F.col("first_")[row]).select(row))
+    return numbered.join(go, row, "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_of, text_udf
+from .common import bounded_sample, free_name, text_of, text_udf
 
 BUCKETS = 1 << 15
 DIM = 40
@@ -226,4 +226,5 @@ def score(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.5) -> DataFrame:
     """`docs` without the documents scoring below `threshold`."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    return docs.withColumn("score_", model.column(text_of(docs))).where(F.col("score_") >= threshold).drop("score_")
+    name = free_name(docs, "score_")
+    return docs.withColumn(name, model.column(text_of(docs))).where(F.col(name) >= threshold).drop(name)

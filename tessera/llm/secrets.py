@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, text_udf
+from .common import free_name, text_of, text_udf
 
 # The three base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -237,10 +237,12 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with every secret replaced in text (n_chars, if there, follows); no row goes, a null text stays null."""
-    found = docs.withColumn("secrets_", scan_column(text_of(docs), redacting=True, threshold=threshold))
-    text = F.coalesce(F.col("secrets_.redacted"), F.col("text"))
-    changed = F.col("secrets_.redacted").isNotNull()
+    name = free_name(docs, "secrets_")
+    found = docs.withColumn(name, scan_column(text_of(docs), redacting=True, threshold=threshold))
+    redacted = F.col(name)["redacted"]
+    text = F.coalesce(redacted, F.col("text"))
+    changed = redacted.isNotNull()
     columns = {"text": text}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("secrets_.redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(columns).drop("secrets_")
+        columns["n_chars"] = F.when(changed, F.length(redacted).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(columns).drop(name)

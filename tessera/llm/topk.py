@@ -54,6 +54,10 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return out
 
 
+#: Shards whose block extremes travel together.
+EDGE_SHARDS = 256
+
+
 def build_shard(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, block_rows: int = BLOCK_ROWS) -> bytes:
     """The forward index of one shard: documents in pivot order, block by block, with extremes per dimension."""
     order = np.lexsort((rows, ids))
@@ -127,6 +131,42 @@ def _pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("query", "shard").mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
 
 
+def _surviving(told: DataFrame, shards: DataFrame, n_queries: int, n_shards: int) -> DataFrame:
+    """b, s: the pairs of query blocks and shards (but the home ones) of which some block of rows may reach a query's kth score.
+
+    Only the shards' block extremes travel to all query blocks, EDGE_SHARDS shards a pack; whole shards follow where they survive.
+    """
+
+    def edges(batches):
+        for batch in batches:
+            held = [_unpack(b) for b in batch.column(1).to_pylist()]
+            blobs = [_pack(high=h["high"], low=h["low"]) for h in held]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["s", "edge"])
+
+    edge = shards.select("part", "blob").mapInArrow(edges, "s int, edge binary").withColumn("pack", F.floor(F.col("s") / EDGE_SHARDS).cast("int"))
+    packs = materialize(edge.groupBy("pack").agg(F.collect_list(F.struct("s", "edge")).alias("edges")))  # EDGE_SHARDS a row
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = told.select(F.col("part").alias("b"), F.col("blob").alias("query"), every(-(-n_shards // EDGE_SHARDS)).alias("pack"))
+    met = left.join(packs.withColumn("b", every(n_queries)), ["b", "pack"])
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for b, blob, held in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                query = _unpack(blob)
+                for item in held:
+                    if item["s"] != b % n_shards:
+                        e = _unpack(item["edge"])
+                        d = min(query["x"].shape[1], e["high"].shape[1])
+                        q = query["x"][:, :d]
+                        bound = _product(np.maximum(q, 0), e["high"][:, :d]) + _product(np.minimum(q, 0), e["low"][:, :d])
+                        if (bound >= query["kth"][:, None]).any():
+                            found.append((b, item["s"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)], names=["b", "s"])
+
+    return met.select("b", "query", "edges").mapInArrow(run, "b int, s int")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
@@ -147,14 +187,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     shards = materialize(_packed(vectors, deal(n_shards, 1), build_shard))
     blocks = materialize(_packed(queries, deal(n_queries, 2), lambda ids, rows, x: _pack(ids=ids, rows=rows, x=x, kth=np.full(len(ids), NONE, dtype=np.int64))))
 
-    def met(blocks: DataFrame, first_round: bool) -> DataFrame:
-        numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-        left = blocks.select(F.col("part").alias("b"), F.col("blob").alias("query"), F.explode(numbers(n_shards)).alias("s"))
-        right = shards.select(F.col("part").alias("s"), F.col("blob").alias("shard"), F.explode(numbers(n_queries)).alias("b"))
-        home = F.col("s") == F.col("b") % n_shards
-        return left.where(home if first_round else ~home).join(right.where(home if first_round else ~home), ["b", "s"])
-
-    first = materialize(_pairs(met(blocks, True), k))
+    homes = blocks.select((F.col("part") % n_shards).alias("s"), F.col("blob").alias("query"))
+    first = materialize(_pairs(homes.join(shards.select(F.col("part").alias("s"), F.col("blob").alias("shard")), "s"), k))  # one shard each: a kth score to beat
     kth = _best(first, k).where(F.col("rank") == k).select("row", F.col("score").alias("kth"))
     kth = kth.withColumn("part", deal(n_queries, 2)).groupBy("part").agg(F.collect_list(F.struct("row", "kth")).alias("known"))
 
@@ -171,5 +205,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     told = materialize(blocks.join(kth, "part", "left").select("part", "blob", "known").mapInArrow(informed, "part int, blob binary"))
-    found = first.unionByName(_pairs(met(told, False), k))
+    pairs = materialize(_surviving(told, shards, n_queries, n_shards))
+    query = told.select(F.col("part").alias("b"), F.col("blob").alias("query"))
+    shard = shards.select(F.col("part").alias("s"), F.col("blob").alias("shard"))
+    found = first.unionByName(_pairs(pairs.join(query, "b").join(shard, "s"), k))
     return _best(found, k).select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")
