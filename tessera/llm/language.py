@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles.
 
-Texts become sequences of 32 symbols: the letters a-z, five classes of all other letters (by code point),
-and one boundary symbol for runs of anything else. A profile lists a language's most frequent 1-, 2- and
+Texts become sequences of 64 symbols: the letters a-z, 37 classes of all other letters (by code point, so that the
+letters of a script mostly differ), and one boundary symbol for runs of anything else. A profile lists a language's most frequent 1-, 2- and
 3-grams by rank, from the counts of every training document; a document's own most frequent n-grams are
 compared with each profile by the out-of-place distance, an n-gram absent from the profile costing the
 maximum. Equal counts rank by n-gram code, equal distances go to the language first by code point.
@@ -23,7 +23,7 @@ from .common import text_of, text_udf
 
 #: n-grams in a language profile and in a document's.
 PROFILE = 600
-SYMBOLS = 32
+SYMBOLS = 64
 #: n-gram codes: 1-grams, then 2-grams, then 3-grams.
 CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 UNKNOWN = "und"
@@ -35,9 +35,9 @@ def _symbol_table() -> np.ndarray:
         c = chr(cp)
         if c.isalpha():
             low = c.lower()[0]
-            table[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 5
-    table[0x3000:0xD800] = 27 + np.arange(0x3000, 0xD800) % 5
-    table[0xE000:] = 27 + np.arange(0xE000, 0x110000) % 5
+            table[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 37
+    table[0x3000:0xD800] = 27 + np.arange(0x3000, 0xD800) % 37
+    table[0xE000:] = 27 + np.arange(0xE000, 0x110000) % 37
     return table
 
 
@@ -55,7 +55,7 @@ def gram_counts(text: str) -> np.ndarray:
     s = s[keep].astype(np.int64)
     two = s[:-1] * SYMBOLS + s[1:]
     three = two[:-1] * SYMBOLS + s[2:]
-    counts = np.concatenate((np.bincount(s, minlength=SYMBOLS), np.bincount(two, minlength=SYMBOLS**2), np.bincount(three, minlength=SYMBOLS**3)))
+    counts = np.bincount(np.concatenate((s, two + SYMBOLS, three + (SYMBOLS + SYMBOLS**2))), minlength=CODES)
     counts[0] = counts[SYMBOLS] = 0  # the boundary alone says nothing
     return counts
 
@@ -78,7 +78,7 @@ def profiles(train: DataFrame, top: int = PROFILE) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = gram_counts(text)
                 held[lang] = held[lang] + own if lang in held else own
-                if len(held) > 200:  # bounded memory for any number of languages
+                if len(held) > 20:  # bounded memory for any number of languages
                     yield from emit(held)
         yield from emit(held)
 
