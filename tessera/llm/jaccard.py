@@ -236,8 +236,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     row = free_name(docs, "row_")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     own = join(numbered.select(F.col(row).alias("doc_id"), "text"), threshold, recall).select(F.col("doc_id").alias(row), F.col("class_id").alias("class_"))
-    met = own.join(own.groupBy("class_").agg(F.count("*").alias("n_")).where("n_ > 1").select("class_"), "class_")
-    named = numbered.select(row, F.col("doc_id").alias("id_"), F.xxhash64(text_of(numbered)).alias("hash_")).where("id_ IS NOT NULL").join(met, row)
-    least = named.groupBy("class_").agg(F.min(F.struct("id_", "hash_", row)).alias("first_"))
-    go = materialize(named.join(least, "class_").where(F.col(row) != F.col("first_")[row]).select(row))
+    copies = materialize(own.where(F.col(row) != F.col("class_")))  # a class is named by its first row
+    heads = copies.select("class_").distinct().select(F.col("class_").alias(row), "class_")
+    named = numbered.select(row, F.col("doc_id").alias("id_"), F.xxhash64(text_of(numbered)).alias("hash_")).where("id_ IS NOT NULL").join(copies.unionByName(heads), row)
+    named = materialize(named)  # joins are by row, so a large class has no task of its own
+    least = named.groupBy("class_").agg(F.min(F.struct("id_", "hash_", row)).alias("first_")).select(F.col("first_")[row].alias(row))
+    go = materialize(named.select(row).join(least, row, "left_anti"))
     return numbered.join(go, row, "left_anti").select(*docs.columns)
