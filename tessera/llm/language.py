@@ -44,29 +44,28 @@ def _symbol_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def gram_counts(text: str) -> np.ndarray:
-    """Occurrences of every 1-, 2- and 3-gram code; runs of boundary symbols count as one."""
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's 1-, 2- and 3-gram codes, ascending, and their occurrences; runs of boundary symbols count as one."""
     if not _TABLE:
         _TABLE.append(_symbol_table())
     s = _TABLE[0][np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
     s = np.concatenate((np.zeros(1, np.uint8), s, np.zeros(1, np.uint8)))
     keep = np.ones(len(s), dtype=bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    s = s[keep].astype(np.int64)
+    s = s[keep].astype(np.int32)
     two = s[:-1] * SYMBOLS + s[1:]
     three = two[:-1] * SYMBOLS + s[2:]
-    counts = np.bincount(np.concatenate((s, two + SYMBOLS, three + (SYMBOLS + SYMBOLS**2))), minlength=CODES)
-    counts[0] = counts[SYMBOLS] = 0  # the boundary alone says nothing
-    return counts
+    codes, counts = np.unique(np.concatenate((s, two + SYMBOLS, three + (SYMBOLS + SYMBOLS**2))), return_counts=True)
+    says = (codes != 0) & (codes != SYMBOLS)  # the boundary alone says nothing
+    return codes[says], counts[says]
 
 
-def ranked(counts: np.ndarray, top: int = PROFILE) -> np.ndarray:
+def ranked(codes: np.ndarray, counts: np.ndarray, top: int = PROFILE) -> np.ndarray:
     """Codes by falling count, then code; at most `top`."""
-    codes = np.flatnonzero(counts)
     if len(codes) > 4 * top:
-        least = np.partition(counts[codes], len(codes) - top)[len(codes) - top]
-        codes = codes[counts[codes] >= least]
-    return codes[np.lexsort((codes, -counts[codes]))][:top]
+        least = np.partition(counts, len(codes) - top)[len(codes) - top]
+        codes, counts = codes[counts >= least], counts[counts >= least]
+    return codes[np.lexsort((codes, -counts))][:top]
 
 
 def profiles(train: DataFrame, top: int = PROFILE) -> DataFrame:
@@ -76,8 +75,8 @@ def profiles(train: DataFrame, top: int = PROFILE) -> DataFrame:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = gram_counts(text)
-                held[lang] = held[lang] + own if lang in held else own
+                codes, n = gram_counts(text)
+                held.setdefault(lang, np.zeros(CODES, dtype=np.int64))[codes] += n
                 if len(held) > 20:  # bounded memory for any number of languages
                     yield from emit(held)
         yield from emit(held)
@@ -109,7 +108,7 @@ class RankOrder:
     def predict(self, text: str) -> tuple[str, float]:
         if not self.langs or next(filter(str.isalpha, text), None) is None:
             return UNKNOWN, 0.0
-        codes = ranked(gram_counts(text), self.top)
+        codes = ranked(*gram_counts(text), self.top)
         places = np.abs(self.ranks[codes] - np.arange(len(codes))[:, None])
         places[~self.found[codes]] = self.top
         total = places.sum(axis=0)
