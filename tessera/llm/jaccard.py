@@ -131,8 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped
 
 
-def _verify(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, threshold: float):
-    """Links of each class (in documents) and local roots, among all pairs of one chunk or of two different ones."""
+def _verify(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, threshold: float, within: bool):
+    """Links of each class (in documents) and local roots, among all pairs of one chunk (`within`) or of two different ones, either of which may be empty."""
     order = np.argsort(keys, kind="stable")
     keys, sizes, chunk, sets = keys[order], sizes[order], chunk[order], [sets[k] for k in order]
     n = np.array([len(s) for s in sets])
@@ -154,7 +154,7 @@ def _verify(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], chunk:
     union = n[:, None] + n[None, :] - common
     link = common >= threshold * union - 1e-4
     np.fill_diagonal(link, False)
-    if chunk[0] != chunk[-1] or len(np.unique(chunk)) > 1:
+    if not within:
         link &= chunk[:, None] != chunk[None, :]
     root = np.arange(len(sets))
     while True:
@@ -202,7 +202,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     def verify(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
         held = [np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles").to_pylist()]
-        keys, links, roots, any_link = _verify(col("key"), col("n_copies"), held, col("own"), threshold)
+        keys, links, roots, any_link = _verify(col("key"), col("n_copies"), held, col("own"), threshold, bool(col("a")[0] == col("b")[0]))
         unit = int(col("label")[0]) ^ (int(col("a")[0]) << 20) ^ int(col("b")[0])
         buckets = [xxhash.xxh3_64_intdigest(f"{unit}:{r}".encode()) - (1 << 63) for r in roots]
         return pa.table({"node": keys, "links": links.astype(np.int64), "bucket": pa.array(buckets, pa.int64()), "linked": any_link})
