@@ -4,8 +4,8 @@ Documents are sets of 5-word shingles (64-bit hashes; fewer words make one shing
 form a class, kept once. Bands and rows are chosen for the target recall at the threshold; classes are
 shuffled on their band hashes, and buckets of two classes or more connect them into candidate groups.
 Within a group every pair of classes is verified on the full sets, so what banding must find is only a
-path between two similar classes. A group goes to tasks in chunks of about CHUNK classes, one task for
-each pair of chunks, where shared shingles are counted by blockwise matrix products: no pair of
+path between two similar classes. A group goes to tasks in about SPREAD chunks (of CHUNK classes at most and a
+quarter of that at least), one task for each pair of chunks, so a group of thousands is dealt over hundreds of tasks; there shared shingles are counted by blockwise matrix products: no pair of
 documents is ever emitted, only each class's number of links and a local cluster root.
 
 Output: one row per document with the id of its cluster (class_id: smallest doc_id of the classes
@@ -31,8 +31,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
-#: Classes of a chunk, on average; a task holds two chunks.
+#: Classes of a chunk, on average, at most; a task holds two chunks.
 CHUNK = 512
+#: Chunks that a group is dealt into, as far as their size allows; each class is sent once for each chunk of its group.
+SPREAD = 24
 _SEED = 77
 
 
@@ -181,7 +183,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     sized = groups.groupBy("label").agg(F.count("*").alias("members"))
     dealt = (
         groups.join(sized, "label")
-        .withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int"))
+        .withColumn("chunks", F.ceil(F.col("members") / F.least(F.lit(chunk), F.greatest(F.lit(chunk // 4), F.ceil(F.col("members") / SPREAD)))).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
         .select("label", F.col("node").alias("key"), "chunks", "own")
     )
