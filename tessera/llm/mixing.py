@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, all in DataFrame functions.
 
-Every document gets the key -ln(u) / w with u from a hash of its id and text and w its quality weight,
+Every document gets the key -ln(u) / w with u from the MD5 of its id and text and w its quality weight,
 so in ascending key order a source's documents form a weighted sample without replacement. Words are
 prefix-summed in that order to the source's budget: complete epochs first, then the documents whose
 prefix lies within the remaining words (the last one in part).
@@ -12,7 +12,7 @@ octave holds more than 26 % of them, whatever the weight: `bins` to an octave bo
 source, also where all its weights are equal and low.
 
 Defined cases: a null source is a source of its own, after all others; a null or empty text has size 0
-and is taken 0 times; equal keys fall back on id and text hash, rows equal in all of these are
+and is taken 0 times; equal keys fall back on id and the rest of the MD5, rows equal in all of these are
 interchangeable; repeated rows count each; an empty table gives an empty mix; a source without words
 gets target 0; extra columns are not read.
 """
@@ -91,8 +91,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, epoc
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, bins: int = BINS, weight: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document (and source, weight)."""
     text = docs["text"].cast("string")
-    tie = F.xxhash64(docs["doc_id"], text)
-    u = (F.shiftrightunsigned(F.xxhash64(tie, F.lit("sampling order")), 11).cast("double") + 0.5) / float(1 << 53)
+    digest = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(text, F.lit(""))))
+    number = lambda at, digits: F.conv(F.substring(digest, at, digits), 16, 10).cast("bigint")
+    u = (number(1, 13).cast("double") + 0.5) / float(1 << 52)
+    tie = number(14, 15)
     sized = docs.select(
         "doc_id",
         docs["source"].cast("string").alias("source"),

@@ -55,7 +55,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_decontaminate, op4_language_id, op5_jaccard_join, op6_html_text, op7_mix_sources, op8_exact_topk, op9_quality, op10_secret_scan)
 }
-#: SQL by the definitions alone: all windows grouped (op2, bytes as hex digits), joined (op3), all shared shingles counted (op5), all pairs (op8).
+#: SQL by the definitions alone: all windows grouped (op2, bytes as hex digits), joined (op3), all shared shingles counted (op5), the
+#: level of the targets as the largest of what each set of full sources leaves and one running sum a source (op7), all pairs (op8).
 ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": """
         WITH t AS (
@@ -136,6 +137,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_id, doc_id) AS copy_id, (coalesce(links, 0) + coalesce(copies, 1) - 1)::BIGINT AS n_links
         FROM d LEFT JOIN sets USING (k) LEFT JOIN c USING (grams) LEFT JOIN cls USING (c) LEFT JOIN n_links USING (c)
     """,
+    "op7_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   greatest(0.1::DOUBLE, coalesce(1 - 5 * (length(text) - length(translate(text, '#$%&*@^~|<>{}[]=_+\!', ''))) / greatest(length(text), 1), 0.1::DOUBLE)) AS w,
+                   md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')) AS h FROM documents
+        ), k AS (
+            SELECT *, -ln((('0x' || h[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE) / w AS key, ('0x' || h[14:28])::BIGINT AS tie FROM d
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS pos FROM d GROUP BY source
+        ), p AS (
+            SELECT *, 2 * n AS cap, (CASE pos % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS f FROM s
+        ), level AS (
+            SELECT max(x) AS x FROM (
+                SELECT (1.5::DOUBLE * sum(o.n) - coalesce(sum(o.cap) FILTER (o.cap / o.f < p.cap / p.f), 0)) / sum(o.f) FILTER (o.cap / o.f >= p.cap / p.f) AS x FROM p, p AS o GROUP BY p.pos
+            )
+        ), t AS (
+            SELECT source, n, least(cap::DOUBLE, f * x) AS target FROM p, level
+        ), r AS (
+            SELECT doc_id, size, n, target, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole,
+                   coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, n AS source_size, target, (whole * size + greatest(0, least(size, floor(target - whole * n)::BIGINT - before)))::BIGINT AS taken FROM r
+    """,
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings

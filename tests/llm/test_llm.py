@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -360,6 +361,24 @@ def test_join_matches_brute_force(spark, sf_dir, chunk):
     assert [got[k] for k in range(len(texts))] == brute_join(texts)
 
 
+def test_pair_with_an_empty_chunk_counts_nothing():
+    sets = [np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64)]
+    keys, sizes, chunk = np.array([1, 2]), np.array([1, 3]), np.array([4, 4])
+    assert jaccard._verify(keys, sizes, sets, chunk, 0.8, True)[1].tolist() == [3, 1]
+    assert jaccard._verify(keys, sizes, sets, chunk, 0.8, False)[1].tolist() == [0, 0]
+
+
+def test_mix_matches_its_sql_on_odd_rows(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (None, "d e", None), (3, "", "y"), (4, "$$ ## %%", "y"), (5, "w " * 500, "z"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    want = c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL['op7_mix_sources']})").fetchall()
+    assert sorted(map(tuple, mixing.mix(df).select(*cols).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_bands_and_odd(spark, odd, none):
     b, r = jaccard.plan_bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= jaccard.MAX_HASHES
