@@ -417,7 +417,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents as (row, doc_id, text), and (row, spans: list of packed spans) of those with removed windows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()))  # numbers the rows once
+    # Numbers the rows once. The filter drops nothing: with it both joins below read the texts by one plan, and share its shuffle.
+    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id())).where("row IS NOT NULL")
     total = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
