@@ -15,8 +15,9 @@ there. Only pages without a wrapper (alone on their host, or not aligned with it
 Inside an article only boxes can be template, not paragraphs, headings, quotes or list items. Pages of the same text and
 slots count once, so copies say nothing of what is template; a page of which nothing would be left keeps its text.
 
-Matching looks at children at most `BAND` places off the diagonal, after equal ends are matched; equal subtrees match whole
-and shapes are compared once, so wide and deep pages stay near linear; nothing recurses.
+Matching is exact: long lists of children are compared near the diagonal first, after equal ends are matched, and further off until
+the band must hold the heaviest matching. Equal subtrees match whole and shapes are compared once, so deep pages, and wide ones that
+are alike, stay near linear; wide ones that differ much take time by the product of their lengths. Nothing recurses.
 
 Defined cases: a null html is empty and gives an empty text; a page without host is alone; markup that is cut off or
 unbalanced closes where it must; null ids and repeated rows give a row each; extra columns are not read.
@@ -25,9 +26,11 @@ unbalanced closes where it must; null ids and repeated rows give a row each; ext
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -215,8 +218,12 @@ class Tree:
         return out
 
 
-#: Places off the diagonal that children are compared at.
+#: Lists of children of up to so many pairs are compared in full at once.
+FEW = 1024
+#: Children off the diagonal at which longer lists are compared first.
 BAND = 16
+#: Weights kept as arrays for one pair of lists; the others are looked up again.
+KEPT = 1 << 24
 
 
 class _Matching:
@@ -230,6 +237,10 @@ class _Matching:
             self.key[k], self.kids[k] = (tag, sig), kids
             self.size[k] = 1 + sum(self.size[c] for c in kids)  # children are numbered first
         self.weight: dict[tuple[int, int], int] = {}
+        self.cheap: dict[tuple[int, int], int] = {}  # those of flat shapes, found again when gone
+        self.flat = [all(not self.kids[c] for c in kids) for kids in self.kids]
+        self.places: dict[int, dict] = {}
+        self.last: tuple = (None, [])  # the pair settled last and its matching
 
     def _known(self, a: int, b: int) -> int | None:
         if a == b:
@@ -238,7 +249,28 @@ class _Matching:
             return 0
         if not self.kids[a] or not self.kids[b]:
             return 1
-        return self.weight.get((a, b))
+        found = self.weight.get((a, b))
+        if found is None and (self.flat[a] or self.flat[b]):
+            found = self.cheap.get((a, b))
+            if found is None:
+                if len(self.cheap) >= KEPT >> 6:
+                    self.cheap.clear()
+                found = self.cheap[a, b] = 1 + self._common(a, b)
+        return found
+
+    def _common(self, a: int, b: int) -> int:
+        """Weight of the children's matching if those of one shape are leaves: the longest common sequence of their keys, a bit a child."""
+        if b not in self.places:
+            held = self.places[b] = {}
+            for j, c in enumerate(self.kids[b]):
+                held[self.key[c]] = held.get(self.key[c], 0) | 1 << j
+        held, ones = self.places[b], (1 << len(self.kids[b])) - 1
+        free = ones
+        for c in self.kids[a]:
+            if bits := held.get(self.key[c]):
+                bits &= free
+                free = (free + bits | free - bits) & ones
+        return len(self.kids[b]) - free.bit_count()
 
     def _ends(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, int]:
         """Lengths of the equal start and end of two lists; matching those is never worse."""
@@ -251,73 +283,162 @@ class _Matching:
             end += 1
         return start, end
 
-    def _cells(self, n: int, m: int):
-        """(i, j) of the band: from the diagonal to the one that ends at the other corner, BAND wider on both sides."""
-        low, high = min(0, m - n) - BAND, max(0, m - n) + BAND
-        if high - low > 4 * BAND:  # one list is much longer: along the straight line between the corners
-            for i in range(n):
-                c = i * m // n
-                yield i, range(max(0, c - BAND), min(m, c + m // n + BAND + 1))
-        else:
-            for i in range(n):
-                yield i, range(max(0, i + low), min(m, i + high + 1))
-
     def settle(self, a: int, b: int) -> int:
         """The weight of a pair of shapes; what it needs is settled first, on a stack of its own."""
-        stack = [(a, b)]
+        stack, begun = [(a, b)], {}
         while stack:
             p = stack[-1]
             if self._known(*p) is not None:
                 stack.pop()
                 continue
             x, y = self.kids[p[0]], self.kids[p[1]]
-            start, end = self._ends(x, y)
-            mx, my = x[start : len(x) - end], y[start : len(y) - end]
-            missing = {(mx[i], my[j]) for i, js in self._cells(len(mx), len(my)) for j in js if self._known(mx[i], my[j]) is None} if mx and my else ()
-            if missing:
-                stack.extend(missing)
-                continue
-            self.weight[p] = 1 + sum(self._known(i, j) for i, j in self._pairs(x, y, weights=True))
-            stack.pop()
+            if p not in begun:
+                begun[p] = self._heaviest(x, y)
+            try:
+                stack.extend(next(begun[p]))
+            except StopIteration as found:
+                self.last = p, found.value
+                self.weight[p] = 1 + sum(self._known(x[i], y[j]) for i, j in found.value)
+                del begun[p]
         return self._known(a, b)
 
-    def _pairs(self, a: tuple[int, ...], b: tuple[int, ...], weights: bool = False) -> list[tuple[int, int]]:
-        """The heaviest ordered matching of two lists of shapes, as places (or as shapes)."""
+    def pairs(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The heaviest ordered matching of the children of two shapes of one key, as places."""
+        weight = self.settle(a, b)
+        if self.last[0] == (a, b):
+            return self.last[1]
+        try:
+            next(self._heaviest(self.kids[a], self.kids[b], weight - 1))
+        except StopIteration as found:
+            return found.value
+        raise AssertionError("a settled pair lacks a weight")
+
+    def _heaviest(self, a: tuple[int, ...], b: tuple[int, ...], weight: int | None = None):
+        """Yields the pairs of shapes to settle first, then returns the heaviest ordered matching of two lists of shapes, as places."""
         start, end = self._ends(a, b)
-        n, m = len(a) - start - end, len(b) - start - end
-        out = [(k, k) for k in range(start)] + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
-        if n and m:
-            best: list[dict[int, int]] = [{}]
-            rows = list(self._cells(n, m))
-            for i, js in rows:
-                above, own, left = best[-1], {}, 0
-                last = max(above.values(), default=0) if above else 0
-                reach = max(above, default=-1)
-                for j in js:
-                    up = above.get(j, last if j > reach else 0)
-                    diagonal = above.get(j - 1, last if j - 1 > reach else 0) if j else 0
-                    w = self._known(a[start + i], b[start + j])
-                    left = max(left, up, diagonal + w if w else 0)
-                    own[j] = left
-                best.append(own)
-            i, j = n - 1, max(best[-1], default=-1)
-            while i >= 0 and j >= 0:
-                row, above = best[i + 1], best[i]
-                j = min(j, max(row, default=-1))
-                if j not in row:
-                    i -= 1
-                    continue
-                last, reach = max(above.values(), default=0), max(above, default=-1)
-                up = above.get(j, last if j > reach else 0)
-                left = row.get(j - 1, 0)
-                if row[j] == up:
+        ends = [(k, k) for k in range(start)] + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+        a_at, b_at = range(start, len(a) - end), range(start, len(b) - end)
+        shared = {self.key[a[i]] for i in a_at} & {self.key[b[j]] for j in b_at}
+        a_at, b_at = [i for i in a_at if self.key[a[i]] in shared], [j for j in b_at if self.key[b[j]] in shared]  # others match nothing
+        x, y = [a[i] for i in a_at], [b[j] for j in b_at]
+        if len(x) * len(y) <= FEW:
+            missing = {(p, q) for p in set(x) for q in set(y) if self._known(p, q) is None}
+            if missing:
+                yield missing
+            found = self._in_full(x, y)
+        else:
+            found = yield from self._in_band(x, y, None if weight is None else weight - sum(self.size[a[i]] for i, _ in ends))
+        return ends + [(a_at[i], b_at[j]) for i, j in found]
+
+    def _in_full(self, x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        best = [[0] * (len(y) + 1)]
+        for p in x:
+            above, own, left = best[-1], [0], 0
+            for j, q in enumerate(y):
+                left = max(left, above[j + 1], above[j] + self._known(p, q))
+                own.append(left)
+            best.append(own)
+        out, i, j = [], len(x), len(y)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out
+
+    def _in_band(self, x: list[int], y: list[int], weight: int | None):
+        """As `_in_full`, within a band that is widened until it must hold every heaviest matching.
+
+        A child can give at most its size, nor more than the largest of its key on the other side; let these add up to s over the first
+        i children of x and to t over the first j of y. What a matching falls short of them, over both lists, is its loss. A matching
+        that settles these i and j apart from the rest has lost |s - t| before and |(S - s) - (T - t)| after, S and T being the whole
+        sums. So matchings of at most some loss pass only where both together are no more; one found there of no more loss is the
+        heaviest. Else the band grows to twice the loss, at most to that of the matching found. `weight`: the result's, if known.
+        """
+        own, other = {}, {}
+        for held, shapes in ((own, x), (other, y)):
+            for p in shapes:
+                held[self.key[p]] = max(held.get(self.key[p], 0), self.size[p])
+        s = np.cumsum([0] + [min(self.size[p], other[self.key[p]]) for p in x])
+        t = np.cumsum([0] + [min(self.size[q], own[self.key[q]]) for q in y])
+        n, m, both, apart = len(x), len(y), int(s[-1] + t[-1]), int(s[-1] - t[-1])
+        kinds = {q: k for k, q in enumerate(dict.fromkeys(y))}
+        names, place = list(kinds), np.array([kinds[q] for q in y])
+        rows: dict[int, np.ndarray] = {}
+        missing: set[tuple[int, int]] = set()
+
+        def weights(i: int, low: int, high: int) -> np.ndarray:
+            p = x[i]
+            if p not in rows:
+                if (len(rows) + 1) * len(names) > KEPT:
+                    rows.clear()
+                rows[p] = np.full(len(names), -1, np.int32)
+            out = rows[p][place[low:high]]
+            if out.size and out.min() < 0:
+                for k in np.unique(place[low:high][out < 0]).tolist():
+                    w = self._known(p, names[k])
+                    if w is None:
+                        missing.add((p, names[k]))
+                    else:
+                        rows[p][k] = w
+                out = rows[p][place[low:high]]
+            return out
+
+        def step(above: np.ndarray, i: int) -> np.ndarray:
+            """Best weights of the first i of x and j of y, for j of the band."""
+            own = np.full(max(0, top[i] - bottom[i]), -both - 1)  # less than any weight, and so with a weight added
+            low, high = max(bottom[i - 1], bottom[i]), min(top[i - 1], top[i])
+            if low < high:
+                own[low - bottom[i] : high - bottom[i]] = above[low - bottom[i - 1] : high - bottom[i - 1]]
+            low, high = max(bottom[i - 1], bottom[i] - 1), min(top[i - 1], top[i] - 1)
+            if low < high:
+                part = own[low + 1 - bottom[i] : high + 1 - bottom[i]]
+                np.maximum(part, above[low - bottom[i - 1] : high - bottom[i - 1]] + weights(i - 1, low, high), out=part)
+            return np.maximum.accumulate(own)
+
+        every = math.isqrt(n) + 1
+        spare = BAND * (both // (n + m) + 1) if weight is None else (both - 2 * weight - abs(apart)) // 2
+        while True:
+            bottom = np.searchsorted(t, s - max(0, apart) - spare, "left").tolist()
+            top = np.searchsorted(t, s - min(0, apart) + spare, "right").tolist()
+            for i in range(1, n + 1):
+                low, high = max(bottom[i - 1], bottom[i] - 1), min(top[i - 1], top[i] - 1)
+                if low < high:
+                    weights(i - 1, low, high)
+            if missing:
+                yield set(missing)
+                missing.clear()
+            row = np.zeros(top[0] - bottom[0], np.int64)
+            kept = {0: row}
+            for i in range(1, n + 1):
+                row = step(row, i)
+                if i % every == 0:
+                    kept[i] = row
+            best = int(row[m - bottom[n]])
+            if best >= 0 and both - 2 * best <= abs(apart) + 2 * spare:
+                break
+            spare = 2 * spare + 1 if best < 0 else min(2 * spare + 1, (both - 2 * best - abs(apart)) // 2)
+
+        out, i, j = [], n, m
+        while i and j:  # rows are worked out again from the last one kept
+            first = (i - 1) // every * every
+            block = [kept[first]]
+            for k in range(first + 1, i + 1):
+                block.append(step(block[-1], k))
+            best_at = lambda k, c: block[k - first][c - bottom[k]] if bottom[k] <= c < top[k] else -1
+            while i > first and j:
+                here = best_at(i, j)
+                if here == best_at(i - 1, j):
                     i -= 1
-                elif row[j] == left:
+                elif here == best_at(i, j - 1):
                     j -= 1
                 else:
-                    out.append((start + i, start + j))
                     i, j = i - 1, j - 1
-        return [(a[i], b[j]) for i, j in out] if weights else out
+                    out.append((i, j))
+        return out
 
 
 def match(page: Tree, reference: Tree) -> list[int]:
@@ -333,9 +454,8 @@ def match(page: Tree, reference: Tree) -> list[int]:
         if x[a] == y[b]:
             stack.extend(zip(page.kids[a], reference.kids[b]))
         elif page.kids[a] and reference.kids[b]:
-            matching.settle(x[a], y[b])
             p, r = page.kids[a], reference.kids[b]
-            stack.extend((p[i], r[j]) for i, j in matching._pairs(tuple(x[k] for k in p), tuple(y[k] for k in r)) if matching.key[x[p[i]]] == matching.key[y[r[j]]])
+            stack.extend((p[i], r[j]) for i, j in matching.pairs(x[a], y[b]))
     return out
 
 

@@ -458,6 +458,49 @@ def test_tree_matching_against_its_definition():
         assert len(set(used)) == len(used) and all(x.nodes[i].sig == y.nodes[k].sig for i, k in enumerate(got) if k >= 0)
 
 
+@pytest.mark.parametrize("few, band", [(1024, 16), (0, 16), (0, 0)])
+def test_matching_of_long_lists_against_its_definition(monkeypatch, few, band):
+    """Children inserted, cut and moved by more places than a band is wide at first."""
+    monkeypatch.setattr(html_text, "FEW", few)
+    monkeypatch.setattr(html_text, "BAND", band)
+    rng = random.Random(few + band)
+
+    def tree(depth, kinds):
+        return rng.choice(kinds), [tree(depth - 1, kinds) for _ in range(rng.randint(0, 3))] if depth else []
+
+    def markup(t):
+        return f"<div class={t[0]}>{''.join(map(markup, t[1]))}</div>"
+
+    for _ in range(30):
+        kinds = rng.choice(["ab", "abc", "abcdef"])
+        some = lambda n: [tree(rng.randint(0, 2), kinds) for _ in range(n)]  # noqa: E731, B023
+        xs = some(rng.choice([5, 40, 80]))
+        ys = list(xs) if rng.random() < 0.6 else some(rng.choice([5, 40, 80]))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(ys))
+            cut, ys[at : at + 30] = ys[at : at + 30], rng.choice([[], some(rng.randint(0, 40))])
+            if rng.random() < 0.5:
+                at = rng.randint(0, len(ys))
+                ys[at:at] = cut
+        a, b = ("r", xs), ("r", ys)
+        x, y = (html_text.Tree(html_text.index(html_text.parse(markup(t)))) for t in (a, b))
+        got = html_text.match(x, y)
+        assert sum(k >= 0 for k in got) == brute_matching(a, b) + 1
+        for k, below in enumerate(x.kids):
+            held = [got[c] for c in below if got[c] >= 0]
+            assert held == sorted(set(held)) and (not held or set(held) <= set(y.kids[got[k]]))
+            assert all(x.nodes[c].sig == y.nodes[got[c]].sig for c in below if got[c] >= 0)
+
+
+def test_region_is_found_however_far_it_has_moved():
+    """60 boxes of a page's own kinds stand before or after the content, so that it moves by up to 60 places."""
+    box = lambda k, i: f"<div class='x{k}'><div>offer {k} {i}</div></div>"
+    page = lambda k: f"<body>{''.join(box(k, i) for i in range(5 * k))}<section><p>{f'story {k} told at length ' * 500}</p></section>{''.join(box(k, i) for i in range(5 * k, 60))}</body>"
+    pages = [page(k) for k in range(13)]
+    for k in range(13):
+        assert html_text.extract(pages[k], pages) == " ".join([f"story {k} told at length"] * 500)
+
+
 def test_region_is_found_without_tags_or_names():
     """Menus, adverts and footers that change from page to page, in elements without class, and no article element."""
     words = lambda n, k: " ".join(f"w{(k * 7919 + i * 104729) % 99991}" for i in range(n))
