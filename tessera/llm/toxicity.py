@@ -51,6 +51,10 @@ REG, CONFUSED, INSERTED = 1e-3, 0.2, 0.3
 ALPHABET = 64
 #: Words whose number a worker remembers.
 REMEMBER = 500_000
+#: Characters from which texts are parsed in parts.
+CHARS = 4_000_000
+#: Products of a word's triple with a landmark's held at once.
+AT_ONCE = 1_000_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _SINGLES = re.compile(r"\s\S[\x20\t]\S[\x20\t]\S(?!\S)")
@@ -64,11 +68,23 @@ def _code(c: str) -> int:
 
 
 _LATIN = bytes(_code(chr(c)) for c in range(256))
+#: The same with a mark for the line ends between joined words.
+_LINES = bytes(0xFF if c == 10 else _LATIN[c] for c in range(256))
 
 
 def codes(word: str) -> bytes:
     """The codes of a word's characters, each gap one place wide, none at the ends."""
-    c = word.encode("latin-1").translate(_LATIN) if word.isascii() or max(word) <= "\xff" else bytes(map(_code, word))
+    return _closed(word.encode("latin-1").translate(_LATIN) if word.isascii() or max(word) <= "\xff" else bytes(map(_code, word)))
+
+
+def all_codes(words: list[str]) -> list[bytes]:
+    """`codes` of each word, looked up for all at once; words hold no white space."""
+    runs = "\n".join(words).encode("latin-1", "replace").translate(_LINES).split(b"\xff")
+    return [_closed(c) if w.isascii() or max(w) <= "\xff" else codes(w) for w, c in zip(words, runs)]
+
+
+def _closed(c: bytes) -> bytes:
+    """Codes without gaps at the ends, with filler as gaps and each gap one place wide."""
     c = c.strip(b"\0")
     if len(c) >= 9 and c[1] == c[3] and c[1] not in c[::2] and c[1::2] == c[1:2] * (len(c) // 2):
         c = c.replace(c[1:2], b"\0")  # filler: one letter at every second place
@@ -93,10 +109,10 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _triples(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0 where a place isn't a letter) and weights of the triples of equally long words."""
+    """Codes and weights of the triples of equally long words; where a place isn't a letter, the code has a digit 0."""
     at, weight = _places(group.shape[1])
-    a, b, c = (group[:, at[:, k]].astype(np.int32) for k in range(3))
-    return np.where((a > 0) & (b > 0) & (c > 0), (a * ALPHABET + b) * ALPHABET + c, 0), weight
+    a, b, c = (group.astype(np.int32)[:, at[:, k]] for k in range(3))
+    return (a * ALPHABET + b) * ALPHABET + c, weight
 
 
 def _by_length(words: list[bytes]):
@@ -104,20 +120,27 @@ def _by_length(words: list[bytes]):
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     for n in np.unique(lengths[(lengths >= ORDER) & (lengths <= LONGEST)]):
         at = np.flatnonzero(lengths == n)
-        for part in np.array_split(at, max(1, len(at) * len(_places(int(n))[1]) // 400_000)):
+        for part in np.array_split(at, max(1, len(at) * len(_places(int(n))[1]) // 100_000)):
             yield part, np.frombuffer(b"".join(words[k] for k in part), dtype=np.uint8).reshape(len(part), int(n))
 
 
-def _norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Root of the kernel of each word with itself, from its triples."""
-    order = np.argsort(code, axis=1)
-    code, w = np.take_along_axis(code, order, 1), weight[order]
-    w = np.where(code > 0, w, 0)
-    total = np.zeros(len(code))
-    flat, wf = (code + np.arange(len(code), dtype=np.int64)[:, None] * ALPHABET**3).ravel(), w.ravel()
-    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    np.add.at(total, flat[first] // ALPHABET**3, np.add.reduceat(wf, first).astype(np.float64) ** 2)
-    return np.sqrt(total)
+def _aged(x: np.ndarray) -> np.ndarray:
+    """For each place of the first axis, what stands before it, aged by the distance."""
+    out = np.zeros_like(x)
+    for k in range(1, len(x)):
+        np.add(out[k - 1], x[k - 1], out=out[k])
+        out[k] *= DECAY
+    return out
+
+
+def _norms(group: np.ndarray) -> np.ndarray:
+    """Root of the kernel of each word with itself: pairs of equal letters, continued by ORDER - 1 further such pairs."""
+    g = np.ascontiguousarray(group.T)
+    same = ((g[:, None] == g) & (g > 0)).astype(np.float32)
+    ends = same
+    for _ in range(ORDER - 1):
+        ends = same * _aged(_aged(ends).swapaxes(0, 1)).swapaxes(0, 1)
+    return DECAY * np.sqrt(ends.sum(axis=(0, 1)))
 
 
 def triple_sums(word: bytes) -> np.ndarray:
@@ -143,7 +166,7 @@ class Kernel:
             code, weight = _triples(np.frombuffer(word, dtype=np.uint8)[None, :])
             own: dict[int, float] = {}
             for c, w in zip(code[0].tolist(), weight.tolist()):
-                if c:
+                if c % ALPHABET and c // ALPHABET % ALPHABET and c // ALPHABET**2:
                     own[c] = own.get(c, 0.0) + w
             norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
             sums.append({c: v / norm for c, v in own.items()})
@@ -154,26 +177,39 @@ class Kernel:
         for k, s in enumerate(sums):
             for c, v in s.items():
                 self.values[self.row[c], k] = v
+        rows, self.marks = np.nonzero(self.values)  # few landmarks have a triple, so only those are visited
+        self.shares = self.values[rows, self.marks].astype(np.float64)
+        self.first = np.searchsorted(rows, np.arange(len(self.values) + 1))
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """A row of kernel values for each word; words of fewer than ORDER letters have none."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
-        width = len(self.values)
         for part, group in _by_length(words):
             code, weight = _triples(group)
-            row = self.row[code]
-            hit = np.flatnonzero(row.any(axis=1))
-            for own in np.array_split(hit, max(1, len(hit) * width // 4_000_000)):
-                if len(own):  # summed weights of the triples some landmark has, then one product with the landmarks
-                    word, place = np.nonzero(row[own])
-                    sums = np.bincount(word * width + row[own[word], place], weight[place], len(own) * width).astype(np.float32).reshape(len(own), width)
-                    out[part[own]] = sums @ self.values / np.maximum(_norms(code[own], weight), 1e-9)[:, None]
+            row = self.row[code].ravel()
+            hit = np.flatnonzero(row)
+            if len(hit):
+                out[part] = self._sums(hit, row[hit], weight, len(part)) / np.maximum(_norms(group), 1e-9)[:, None]
         for k, w in enumerate(words):
             if len(w) > LONGEST:
                 own = triple_sums(w)
                 held = np.flatnonzero(own)
                 out[k] = own[held] @ self.values[self.row[held]] / max(math.sqrt(float(own[held] @ own[held])), 1e-9)
-        return np.clip(out, 0, 1) ** POWER
+        np.clip(out, 0, 1, out=out)
+        return math.prod([out] * POWER)
+
+    def _sums(self, hit: np.ndarray, row: np.ndarray, weight: np.ndarray, words: int) -> np.ndarray:
+        """Summed products of the words' triples some landmark has with the landmarks' own, a bounded number at a time."""
+        sums = np.zeros(words * len(self.landmarks))
+        n = self.first[row + 1] - self.first[row]
+        upto = np.cumsum(n)
+        cuts = [0, *np.searchsorted(upto, np.arange(AT_ONCE, upto[-1], AT_ONCE)).tolist(), len(hit)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            word, place = np.divmod(hit[a:b], len(weight))
+            many = n[a:b]
+            at = np.arange(many.sum()) + np.repeat(self.first[row[a:b]] - (np.cumsum(many) - many), many)
+            sums += np.bincount(np.repeat(word * len(self.landmarks), many) + self.marks[at], np.repeat(weight[place], many) * self.shares[at], len(sums))
+        return sums.reshape(words, -1)
 
 
 class ToxicityModel:
@@ -185,36 +221,56 @@ class ToxicityModel:
     def scorer(self):
         kernel = Kernel(self.landmarks) if self.landmarks else None
         memory: dict[str, int] = {}
-        table = [np.zeros((1 << 14, len(self.landmarks)), dtype=np.float32)]
+        spelling: dict[bytes, int] = {}  # words of equal codes share a row; row 0 is of all that no landmark is like
+        table, used = [np.zeros((1 << 14, len(self.landmarks)), dtype=np.float32)], [1]
 
         def learn(words: list[str]) -> None:
             """The kernel row of each new word."""
-            while len(memory) + len(words) > len(table[0]):
-                table[0] = np.concatenate((table[0], np.zeros_like(table[0])))
-            table[0][len(memory) : len(memory) + len(words)] = kernel([codes(w) for w in words])
-            memory.update(zip(words, range(len(memory), len(memory) + len(words))))
+            own = all_codes(words)
+            new = list(dict.fromkeys(c for c in own if c not in spelling))
+            values = kernel(new)
+            like = values.any(axis=1)
+            begin, end = used[0], used[0] + int(like.sum())
+            if end > len(table[0]):
+                grown = np.zeros((max(end, 2 * len(table[0])), len(self.landmarks)), dtype=np.float32)
+                grown[:begin] = table[0][:begin]
+                table[0] = grown
+            table[0][begin:end] = values[like]
+            used[0] = end
+            spelling.update(zip(new, np.where(like, begin + np.cumsum(like) - 1, 0).tolist()))
+            memory.update(zip(words, map(spelling.__getitem__, own)))
 
         def run(texts: list[str]) -> list[float]:
             if kernel is None:
                 return [self.prior] * len(texts)
             out = []
-            for at in range(0, len(texts), 250):  # new words of many texts are compared at once
-                parsed = [sentences(t) for t in texts[at : at + 250]]
-                new = {w for parts in parsed for p in parts for w in p}
+            long = np.unique(np.cumsum([len(t) for t in texts]) // CHARS, return_index=True)[1]
+            cuts = sorted({*range(0, len(texts), 250), *long.tolist(), len(texts)})
+            for a, b in zip(cuts[:-1], cuts[1:]):  # new words of many texts are compared at once
+                parsed = [sentences(t) for t in texts[a:b]]
+                words = [w for parts in parsed for p in parts for w in p]
+                new = set(words).difference(memory)
                 if len(memory) + len(new) > REMEMBER:
                     memory.clear()
-                if new := list(new.difference(memory)):
-                    learn(new)
-                out += [one(parts) for parts in parsed]
+                    spelling.clear()
+                    used[0], new = 1, set(words)
+                if new:
+                    learn(list(new))
+                out += worst(parsed, np.fromiter(map(memory.__getitem__, words), dtype=np.int64, count=len(words)))
             return out
 
-        def one(parts: list[list[str]]) -> float:
-            margin = self.bias
-            if parts:
-                rows = np.fromiter((memory[w] for p in parts for w in p), dtype=np.int64)
-                first = np.cumsum([0, *(len(p) for p in parts[:-1])])
-                margin = max(float(top.max()) for top in self._margins(table[0], rows, first))
-            return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.shift))))
+        def worst(parsed: list[list[list[str]]], rows: np.ndarray) -> list[float]:
+            """Each text's score; one without a sentence is judged as an all-zero one."""
+            margin = np.full(len(parsed), self.bias, dtype=np.float64)
+            n = np.array([len(parts) for parts in parsed])
+            if n.any():
+                first = np.cumsum([0, *(len(p) for parts in parsed for p in parts)])[:-1]
+                keep = rows > 0  # an all-zero row changes no maximum beside others
+                keep[first] = True
+                first = (np.cumsum(keep) - 1)[first]
+                each = np.concatenate(list(self._margins(table[0], rows[keep], first)))
+                margin[n > 0] = np.maximum.reduceat(each, (np.cumsum(n) - n)[n > 0])
+            return [1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * m + self.shift)))) for m in margin.tolist()]
 
         return run
 

@@ -111,6 +111,35 @@ def test_toxicity_kernel_matches_brute_force():
     assert all(abs(own[c] - v) < 1e-9 for c, v in sums.items()) and abs(own.sum() - sum(sums.values())) < 1e-6
 
 
+def test_toxicity_compares_each_spelling_once(monkeypatch):
+    """Spellings of equal codes cost one comparison with the landmarks, in all texts of a task."""
+    model = toxicity.train(["the idiot is here %d" % k for k in range(30)], ["the day is fine %d" % k for k in range(30)])
+    compared = []
+    plain = toxicity.Kernel.__call__
+    monkeypatch.setattr(toxicity.Kernel, "__call__", lambda self, words: compared.extend(words) or plain(self, words))
+    score = model.scorer()
+    got = score(["you idiot here", "you, Idiot; Here", "(you) IDIOT, here?"] * 200) + score(["You 'idiot' HERE"])
+    assert sorted(compared) == sorted(toxicity.codes(w) for w in ("you", "idiot", "here"))
+    assert max(got) == min(got) > 0.5
+
+
+def test_toxicity_scores_do_not_depend_on_the_batch(monkeypatch):
+    """Texts together, alone, with a worker that soon forgets and with products held a few at a time: the same scores."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("idiotea.-x\u00e9\u00ff\u0416\U0001f600") for _ in range(rng.choice((1, 2, 3, 5, 9, 30))))
+    texts = ["", " \n ", *("".join(word() + rng.choice((" ", " ", "\n", ". ", "! ")) for _ in range(rng.randrange(1, 60))) for _ in range(300)), "idiot", ""]
+    words = sorted({w for t in texts for w in t.split()})
+    assert toxicity.all_codes(words) == [toxicity.codes(w) for w in words] and toxicity.all_codes([]) == []
+    model = toxicity.train(["the idiot is here %d" % k for k in range(30)], ["the day is fine %d" % k for k in range(30)])
+    want = [model.scorer()([t])[0] for t in texts]
+    assert model.scorer()(texts) == pytest.approx(want, abs=1e-5) and want[0] == want[1] == want[-1] < want[-2]
+    monkeypatch.setattr(toxicity, "REMEMBER", 50)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    monkeypatch.setattr(toxicity, "CHARS", 90)
+    score = model.scorer()
+    assert [s for k in range(0, len(texts), 40) for s in score(texts[k : k + 40])] == pytest.approx(want, abs=1e-5)
+
+
 def test_toxicity_of_odd_words():
     model = toxicity.train(["the idiot is here %d" % k for k in range(30)], ["the day is fine %d" % k for k in range(30)])
     texts = ["a" * 13 + "." * 29 + "bb" + "." * 60 + "c", "." * 5000, "ab" * 30_000, "\u4f60\u597d \U0001f600 \u0416\u0416\u0416", None or "", "\x00 a b c"]
