@@ -116,19 +116,19 @@ class TileArray:
 
     def _written(self, roi: Roi, cells: DataFrame) -> "TileArray":
         """Directory and dirty slices after a write that left `cells`."""
-        touched = self._touched(roi)
+        box = roi.block_range(self.spec.block_shape)
+        if self.spec.delete_empty:  # of the touched blocks those left with a non-zero cell, however many the region spans
+            touched = with_blocks(cells.where(F.col("v") != 0), self.spec.block_shape).where(box.contains("b")).select(*self.spec.blocks).distinct()
+            kept = lambda df: df.where(~box.contains("b")).unionByName(df.where(box.contains("b")).join(touched, self.spec.blocks, "left_semi"))
+        else:
+            touched, kept = self._touched(roi), lambda df: df
         new = touched.join(self.blocks, self.spec.blocks, "left_anti")
-        blocks = self.blocks.unionByName(new).distinct()
-        dirty = self._clean(roi, self.dirty.unionByName(self._all_slices(new)))
+        blocks = kept(self.blocks).unionByName(new).distinct()
+        dirty = self._clean(roi, kept(self.dirty).unionByName(self._all_slices(new)))
         if self.spec.delete_empty:
-            full = with_blocks(cells.where(F.col("v") != 0), self.spec.block_shape).select(*self.spec.blocks).distinct()
-            gone = touched.join(full, self.spec.blocks, "left_anti")
-            blocks = blocks.join(gone, self.spec.blocks, "left_anti")
-            dirty = dirty.join(gone, self.spec.blocks, "left_anti")
-            cells = with_blocks(cells, self.spec.block_shape).join(gone, self.spec.blocks, "left_anti").select(*self.spec.coords, "v")
+            cells = kept(with_blocks(cells, self.spec.block_shape)).select(*self.spec.coords, "v")
         ranges = None
         if self._ranges is not None:  # only the touched blocks are measured again
-            box = roi.block_range(self.spec.block_shape)
             there = TileArray(self.spec.with_(minmax=False), with_blocks(cells, self.spec.block_shape).where(box.contains("b")), blocks.where(box.contains("b")), dirty)
             ranges = self._ranges.where(~box.contains("b")).unionByName(there.directory().select(*self.spec.blocks, "vmin", "vmax"))
         return self._with(cells, blocks, dirty, ranges=ranges)

@@ -187,8 +187,10 @@ def delete_subarray(spark, d):
 )
 def delete_empty_blocks(spark, d):
     a = TileArray.empty(spark, fx.T3.with_(dtype="uint8", delete_empty=True))
-    roi = Roi((0, 0, 0), (160, 30, 24))
-    return _wide(a.write(roi, threshold(fx.t3(spark, d), 300.0)).blocks)
+    cells = threshold(fx.t3(spark, d), 300.0)
+    box = cells.agg(*(f(f"x{i}") for f in (F.min, F.max) for i in range(3))).first()  # all of the data
+    roi = Roi.empty(3) if box[0] is None else Roi(tuple(box[:3]), tuple(x + 1 for x in box[3:]))
+    return _wide(a.write(roi, cells).blocks)
 
 
 @query(f"WITH {_T3} SELECT x0::BIGINT AS x0, x1::BIGINT AS x1, x2::BIGINT AS x2, [0, 7, 7, 3, 9][(x2 % 5) + 1]::BIGINT AS v FROM t3")

@@ -26,3 +26,13 @@ def test_matches_oracle(spark, sf_dir, duck, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_delete_empty_blocks_takes_the_whole_table(spark, sf_dir, tmp_path):
+    """Users and days far beyond those of the smallest tables."""
+    c = duckdb.connect()
+    shifted = "SELECT * REPLACE (user_id + 1000000 * k AS user_id, ts + to_days(100 * k::INTEGER) AS ts)"
+    c.execute(f"COPY ({shifted} FROM '{sf_dir}/events.parquet', (VALUES (0), (1), (3)) t(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, QUERIES["delete_empty_blocks"](spark, str(tmp_path)).select("b0", "b1", "b2").collect()))
+    assert got and got == sorted(c.execute(f"SELECT b0, b1, b2 FROM ({ORACLE_SQL['delete_empty_blocks']})").fetchall())
