@@ -406,7 +406,7 @@ def mesh_faces(spark, d):
     SELECT u[1]::BIGINT AS a_x, u[2]::BIGINT AS a_y, u[3]::BIGINT AS a_z, w[1]::BIGINT AS b_x, w[2]::BIGINT AS b_y, w[3]::BIGINT AS b_z FROM l"""
 )
 def mesh_lines(spark, d):
-    lines = ms.mesh_lines(ms.mesh_faces(_object(spark, d), _MESH_EXTENT, 1))
+    lines = ms.mesh_lines(_object(spark, d), _MESH_EXTENT, 1)
     return _wide(lines.select(*(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "ab" for c in "xyz")))
 
 

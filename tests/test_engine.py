@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.region import Roi, grid, intersections, tiles
 from tessera.operators import features as ft
 from tessera.operators.cache import BlockCache
+from tessera.operators import mesh
 from tessera.operators.mesh import extract_mesh, mesh_faces
 from tessera.operators.segment import connected_components
 from tessera.operators.store import TileArray, numpy_cells
@@ -236,3 +237,48 @@ def test_knossos_cubes(spark, tmp_path):
 
 def test_hdf5_descriptor():
     assert hdf5.split_descriptor("a/b.h5/g/d") == ("a/b.h5", "g/d") and hdf5.split_descriptor("x/y") == ("x", "y")
+
+
+def _brute_mesh(lab, extent, closed):
+    """Faces, edges and corners of label 1, voxel by voxel."""
+    own = {tuple(map(int, c)) for c in np.argwhere(lab == 1)}
+    faces, lines = set(), set()
+    for c in own | {tuple(v - (i == k) for i, v in enumerate(c)) for c in own for k in range(3)}:
+        for axis in range(3):
+            after = tuple(v + (i == axis) for i, v in enumerate(c))
+            if ((c in own) == (after in own)) or not (closed or all(0 <= v < n - 1 for v, n in zip(c, extent))):
+                continue
+            a, b = [i for i in range(3) if i != axis]
+            at = [tuple(after[i] + (k if i == a else l if i == b else 0) for i in range(3)) for k, l in mesh.CORNERS[axis]]
+            faces.add((axis, *at))
+            lines |= {tuple(sorted((at[i], at[(i + 1) % 4]))) for i in range(4)}
+    return faces, lines, sorted({p for f in faces for p in f[1:]})
+
+
+@pytest.mark.parametrize("layers, closed", [(1, False), (1, True), (3, False), (4, True), (100, True)])
+def test_mesh_by_slabs(spark, monkeypatch, layers, closed):
+    """Slabs of any width give the brute-force mesh, also if a voxel is listed twice or has no place."""
+    extent = (9, 5, 6)
+    monkeypatch.setattr(mesh, "SLAB_VOXELS", layers * 30, raising=False)
+    lab = np.random.default_rng(layers).integers(0, 3, extent)
+    lab[4:6] = 0  # empty layers
+    cells = numpy_cells(spark, lab, spec("int64", (3, 3, 3), extent)).withColumnRenamed("v", "label")
+    cells = cells.unionByName(cells.where("x1 < 2")).unionByName(cells.limit(3).withColumn("x0", F.lit(None).cast("int")))
+    faces, lines, corners = _brute_mesh(lab, extent, closed)
+    got = [(r["axis"], *(tuple(r[f"c{i}"]) for i in range(4))) for r in mesh_faces(cells, extent, 1, closed).collect()]
+    assert len(got) == len(faces) and set(got) == faces
+    got = [(tuple(r["a"]), tuple(r["b"])) for r in mesh.mesh_lines(cells, extent, 1, closed).collect()]
+    assert len(got) == len(lines) and set(got) == lines
+    verts, edges, quads = extract_mesh(cells, extent, 1, closed)
+    assert sorted(map(tuple, verts.collect())) == [(i, *c) for i, c in enumerate(corners)]
+    at = {c: i for i, c in enumerate(corners)}
+    assert sorted(map(tuple, edges.collect())) == sorted((at[a], at[b]) for a, b in lines)
+    assert sorted(map(tuple, quads.collect())) == sorted(tuple(at[c] for c in f[1:]) for f in faces)
+
+
+def test_mesh_shuffles_voxels_once(spark):
+    """Neither faces nor their edges are shuffled; an object without voxels has an empty mesh."""
+    whole = grid(spark, Roi((0, 0, 0), (4, 4, 4))).withColumn("label", F.lit(1))
+    for df in (mesh_faces(whole, (9, 9, 9), 1), mesh.mesh_lines(whole, (9, 9, 9), 1), *extract_mesh(whole, (9, 9, 9), 1)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [df.count() for df in extract_mesh(whole, (9, 9, 9), 7)] == [0, 0, 0]
