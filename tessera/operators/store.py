@@ -375,8 +375,11 @@ class TileArray:
             a, b = (getattr(x, part) for x in (self, other))
             if part == "cells":
                 a, b = a.where(F.col("v") != 0), b.where(F.col("v") != 0)
-            b = b.select(*a.columns)
-            n = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+            rows = a.withColumn("side_", F.lit(1)).unionByName(b.withColumn("side_", F.lit(-1)))
+            if part == "cells":  # dealt out apart from what the cells come from, so that no task holds both
+                rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *reversed(self.spec.coords))
+            apart = rows.groupBy(*a.columns).agg(F.abs(F.sum("side_")).alias("n_"))  # equal rows of the two sides cancel out, each as often as it occurs
+            n = apart.agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("n")).select(F.lit(part).alias("part"), "n")
             out = n if out is None else out.unionByName(n)
         return out
 

@@ -282,3 +282,18 @@ def test_mesh_shuffles_voxels_once(spark):
     for df in (mesh_faces(whole, (9, 9, 9), 1), mesh.mesh_lines(whole, (9, 9, 9), 1), *extract_mesh(whole, (9, 9, 9), 1)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [df.count() for df in extract_mesh(whole, (9, 9, 9), 7)] == [0, 0, 0]
+
+
+def test_differences_compare_apart_from_the_cells(spark):
+    """Cells are dealt out anew before they are compared, and no row is copied; rows count as often as they occur."""
+    s = spec("float64", (4, 4), (8, 8))
+    a = TileArray(s, grid(spark, Roi((0, 0), (8, 8))).withColumn("v", F.lit(1.0)).groupBy("x0", "x1").agg(F.max("v").alias("v")))
+    b = a.delete(Roi((0, 0), (1, 1))).write_point((7, 7), float("nan")).set_dirty(Roi((7, 7), (8, 8)))
+    for other, n in ((a, (0, 0, 0)), (b, (16 + 2, 1, 2))):
+        df = a.differences(other)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "replicaterows" not in plan and "REPARTITION_BY_NUM" in plan
+        assert {r["part"]: r["n"] for r in df.collect()} == dict(zip(("cells", "blocks", "dirty"), n))
+    twice = TileArray(s, a.cells.unionByName(a.cells.where("x0 = 0")))
+    assert {r["part"]: r["n"] for r in twice.differences(a).collect()}["cells"] == 8
+    assert b.equals(b) and not twice.equals(a)
